@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .simhash_vp import near_duplicates
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -20,6 +21,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 REPEATS_SQL = r"""
 WITH d AS (
     SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*') AS p FROM documents
@@ -45,6 +50,7 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 SQL = {
     "op2_suffix_dedup": REPEATS_SQL,
