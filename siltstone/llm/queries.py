@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .simhash_vp import near_duplicates
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -17,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -47,12 +52,32 @@ SELECT d.doc_id, CASE WHEN kept.n IS NULL THEN d.text ELSE regexp_extract(d.text
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM benchmark
+), dg AS (
+    SELECT doc_id, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS g, unnest(range(len(w) - 7)) AS p FROM d WHERE len(w) >= 8
+), bg AS (
+    SELECT item_id, len(w) AS n, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS g, unnest(range(len(w) - 7)) AS q FROM b WHERE len(w) >= 8
+), hit AS (
+    SELECT doc_id, item_id, n, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM dg JOIN bg USING (g)
+), runs AS (
+    SELECT doc_id, item_id, n, min(p) AS p, min(q) AS q, count(*) + 7 AS k FROM hit GROUP BY doc_id, item_id, n, p - q, island
+)
+SELECT doc_id, item_id, CAST(k AS INTEGER) AS match_words, CAST(p AS INTEGER) AS doc_word, CAST(q AS INTEGER) AS item_word
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, p, q) AS best FROM runs WHERE k >= 13 OR k = n) WHERE best = 1
+"""
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_decontamination": op3_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 SQL = {
     "op2_suffix_dedup": REPEATS_SQL,
+    "op3_decontamination": DECONTAMINATION_SQL,
     "op8_substring_dedup": REPEATS_SQL,
 }
