@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
+from .quality_rules import quality
 from .simhash_vp import near_duplicates
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -30,6 +31,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 REPEATS_SQL = r"""
 WITH d AS (
     SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*') AS p FROM documents
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 SQL = {
     "op2_suffix_dedup": REPEATS_SQL,
