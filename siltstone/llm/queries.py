@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .decontaminate import contaminated
 from .quality_rules import quality
 from .simhash_vp import near_duplicates
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC,
 """
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
@@ -89,6 +95,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 SQL = {
+    "op1_mixing": mixing.SQL,
     "op2_suffix_dedup": REPEATS_SQL,
     "op3_decontamination": DECONTAMINATION_SQL,
     "op8_substring_dedup": REPEATS_SQL,
