@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import html_extract, mixing
 from .decontaminate import contaminated
 from .quality_rules import quality
 from .simhash_vp import near_duplicates
@@ -29,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -98,5 +103,6 @@ SQL = {
     "op1_mixing": mixing.SQL,
     "op2_suffix_dedup": REPEATS_SQL,
     "op3_decontamination": DECONTAMINATION_SQL,
+    "op4_html_extraction": html_extract.SQL,
     "op8_substring_dedup": REPEATS_SQL,
 }
