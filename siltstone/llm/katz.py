@@ -1,0 +1,223 @@
+"""Operator 7: language-model scores by Katz backoff.
+
+Tokens are the bytes of the UTF-8 text, a closed vocabulary of 256; the order is ORDER. All n-grams of all
+documents are counted. With r the count of an n-gram (h, w) and c(h) the sum over w,
+
+    P(w | h) = d(r) r / c(h)            if r reaches the order's least count
+             = a(h) P(w | h')           otherwise, h' being h without its first token,
+
+where d is the Good-Turing discount, from the counts of counts of the order up to K (where these don't give a
+discount between 0 and 1, it is (r - 1/2) / r), and a(h) is what normalises exactly: the probability left
+over in h, divided by the lower order's probability of all tokens not kept in h. A context without
+discounted or dropped counts gives 1 / (c(h) + 1) of its probability to the rest. From order 3, n-grams
+seen once count as unseen, as is usual for Katz models; so a document doesn't vouch for its own rarities.
+The lowest order is (count + 1) / (total + 256).
+
+The model is a table written to the shared folder, partitioned by order: key, log P, log a. To score, the
+documents are hashed to chunks of about CHUNK_BYTES of text; each chunk asks for its distinct n-grams by a
+join on their keys, so neither the model nor the corpus is held in one place, and evaluates them
+recursively, vectorised; the documents' own shuffle is used for asking and for scoring.
+
+Defined cases: null and empty texts have n_bytes 0 and null scores; documents given twice count twice and
+are scored twice; a null doc_id is passed on; an n-gram of a scored text that the model lacks backs off, down
+to the lowest order's share of an unseen byte; an empty training table gives the uniform distribution; other
+columns don't matter.
+"""
+
+from __future__ import annotations
+
+import math
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .shared import shared_dir, stored
+from .text import slices
+
+ORDER = 5
+K = 5
+CHUNK_BYTES = 16 << 20
+SLICE = 3 << 20
+TAG = 40
+HELD = 3_000_000
+
+
+def least_count(n: int) -> int:
+    return 1 if n < 3 else 2
+
+
+def grams(text: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each n up to order the tagged keys of the n-grams that end at each byte (-1: none); each byte's row; row lengths."""
+    text = pc.fill_null(text, "")
+    lengths = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = "".join(text.to_pylist()).encode()
+    x = np.frombuffer(joined, np.uint8).astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    pos = np.arange(len(x)) - (np.cumsum(lengths) - lengths)[row]
+    out, now = [], x
+    for n in range(1, order + 1):
+        if n > 1:
+            more = np.zeros_like(x)
+            more[1:] = (now[:-1] << 8) | x[1:]
+            now = more
+        out.append(np.where(pos >= n - 1, now | (n << TAG), -1))
+    return out, row, lengths
+
+
+def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([c for _, c in held]), len(key)).astype(np.int64)
+
+
+def _counts(batches, order: int):
+    """Merged counts over many batches, given out whenever they grow too many to hold."""
+    held, size = [], 0
+    for batch in slices(batches, limit=SLICE):
+        for keys in grams(batch.column(batch.schema.get_field_index("text")), order)[0]:
+            key, n = np.unique(keys[keys >= 0], return_counts=True)
+            held.append((key, n))
+            size += len(key)
+        if size > HELD:
+            held = [_merge(held)]
+            size = len(held[0][0])
+            if size > HELD:
+                yield held.pop()
+                size = 0
+    if held:
+        yield _merge(held)
+
+
+def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """n, key, c: the count of every n-gram of every document."""
+
+    def run(batches):
+        for key, c in _counts(batches, order):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+
+    total = docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return total.select(F.shiftright("key", TAG).cast("int").alias("n"), "key", "c")
+
+
+def discounts(of_counts: dict[tuple[int, int], int], order: int) -> dict[tuple[int, int], float]:
+    """d by (n, r) for r up to K; 1 beyond. of_counts: how many n-grams of order n have count r."""
+    out = {}
+    for n in range(2, order + 1):
+        m = [0] + [of_counts.get((n, r), 0) for r in range(1, K + 2)]
+        cut = (K + 1) * m[K + 1] / m[1] if m[1] else 1.0
+        for r in range(1, K + 1):
+            d = ((r + 1) * m[r + 1] / (r * m[r]) - cut) / (1 - cut) if m[r] and cut < 1 else 0.0
+            out[n, r] = d if 0 < d < 1 else (r - 0.5) / r
+    return out
+
+
+class Model:
+    """The table of a model (n, key, lp, la) and the log probability of a byte never seen."""
+
+    def __init__(self, table: DataFrame | None, floor: float, order: int):
+        self.table, self.floor, self.order = table, floor, order
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    spark = docs.sparkSession
+    c = stored(counts(docs, order))
+    of_counts = {(r.n, r.c): r["count"] for r in c.filter(f"c <= {K + 1}").groupBy("n", "c").count().collect()}
+    total = c.filter("n = 1").agg(F.sum("c")).first()[0] or 0
+    d = discounts(of_counts, order)
+    path = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
+    tag = lambda n: F.lit(n << TAG)
+    p = c.filter("n = 1").select("key", ((F.col("c") + 1) / (total + 256)).alias("p"))
+    for n in range(2, order + 1):
+        here = c.filter(F.col("n") == n)
+        discount = F.coalesce(*(F.when(F.col("c") == r, F.lit(d[n, r])) for r in range(1, K + 1)), F.lit(1.0))
+        body = F.col("key").bitwiseAND((1 << TAG) - 1)
+        rows = here.select(
+            "key",
+            "c",
+            F.shiftright(body, 8).bitwiseOR(tag(n - 1)).alias("ctx"),
+            body.bitwiseAND((1 << 8 * (n - 1)) - 1).bitwiseOR(tag(n - 1)).alias("suffix"),
+            F.when(F.col("c") >= least_count(n), discount * F.col("c")).alias("kept"),
+        )
+        low = p.select(F.col("key").alias("suffix"), F.col("p").alias("lower"))
+        rows = rows.join(low, "suffix", "left").withColumn("lower", F.when(F.col("kept").isNotNull(), F.col("lower")))
+        w = Window.partitionBy("ctx")
+        rows = rows.withColumn("ctx_c", F.sum("c").over(w)).withColumn("mass", F.sum("kept").over(w) / F.col("ctx_c")).withColumn("low", F.sum("lower").over(w)).filter("kept IS NOT NULL")
+        all_seen = F.col("low") > 1 - 1e-12
+        scale = F.when(all_seen, 1 / F.col("mass")).when(F.col("mass") > 1 - 1e-12, F.col("ctx_c") / ((F.col("ctx_c") + 1) * F.col("mass"))).otherwise(F.lit(1.0))
+        rows = rows.withColumn("p", F.col("kept") / F.col("ctx_c") * scale).withColumn("a", F.when(all_seen, F.lit(0.0)).otherwise((1 - F.col("mass") * scale) / (1 - F.col("low"))))
+        rows = stored(rows.select("ctx", "key", "p", "a"))
+        weight = rows.groupBy("ctx").agg(F.first("a").alias("a"))
+        done = p.join(weight, p["key"] == weight["ctx"], "left").select("key", F.log("p").alias("lp"), F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.log(F.greatest("a", F.lit(1e-300)))).alias("la"))
+        done.write.parquet(f"{path}/n={n - 1}")
+        p = rows.select("key", "p")
+    p.select("key", F.log("p").alias("lp"), F.lit(0.0).alias("la")).write.parquet(f"{path}/n={order}")
+    return Model(spark.read.parquet(path), math.log(1 / (total + 256)), order)
+
+
+def evaluate(keys: np.ndarray, n: int, known: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: float) -> np.ndarray:
+    """log P of these n-grams. known: by order the sorted keys that the model has, their log P and log a."""
+    have, lp, la = known[n - 1]
+    at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+    found = have[at] == keys if len(have) else np.zeros(len(keys), bool)
+    out = np.where(found, lp[at], floor) if len(have) else np.full(len(keys), floor)
+    rest = np.flatnonzero(~found)
+    if n > 1 and len(rest):
+        body = keys[rest] & ((1 << TAG) - 1)
+        ctx, suffix = (body >> 8) | ((n - 1) << TAG), (body & ((1 << 8 * (n - 1)) - 1)) | ((n - 1) << TAG)
+        c_have, _, c_la = known[n - 2]
+        weight = np.zeros(len(rest))
+        if len(c_have):
+            at = np.minimum(np.searchsorted(c_have, ctx), len(c_have) - 1)
+            weight = np.where(c_have[at] == ctx, c_la[at], 0.0)
+        out[rest] = weight + evaluate(suffix, n - 1, known, floor)
+    return out
+
+
+def score_texts(text: pa.Array, known, order: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The number of bytes and the log probability of each text."""
+    keys, row, lengths = grams(text, order)
+    total = np.zeros(len(lengths))
+    for n in range(1, order + 1):
+        use = keys[n - 1] >= 0
+        if n < order:
+            use &= keys[n] < 0  # only the first bytes of a text have less context
+        k = keys[n - 1][use]
+        if len(k):
+            own = np.unique(k)
+            total += np.bincount(row[use], evaluate(own, n, known, floor)[np.searchsorted(own, k)], len(lengths))
+    return lengths, total
+
+
+def scored(docs: DataFrame, model: Model, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_bytes, log_prob, bits_per_byte: a row for each document."""
+    order, floor = model.order, model.floor
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / chunk_bytes))
+    chunked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        key = np.concatenate([k for k, _ in _counts(table.to_batches(), order)] or [np.zeros(0, np.int64)])
+        key = np.unique(key)
+        return pa.table({"chunk": pa.array(np.full(len(key), table.column("chunk")[0].as_py(), np.int32)), "key": key})
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, lp, la = (right.column(c).to_numpy() for c in ("key", "lp", "la"))
+        by = np.argsort(key)
+        key, lp, la = key[by], lp[by].astype(np.float64), la[by].astype(np.float64)
+        cuts = np.searchsorted(key, np.arange(1, order + 2) << TAG)
+        known = [(key[a:b], lp[a:b], la[a:b]) for a, b in zip(cuts, cuts[1:])]
+        out = []
+        for batch in slices(left.to_batches(), limit=SLICE):
+            size, total = score_texts(batch.column(batch.schema.get_field_index("text")), known, order, floor)
+            none = size == 0
+            bits = -total / np.maximum(size, 1) / math.log(2)
+            out.append(pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total, mask=none), pa.array(bits, mask=none)], names=["doc_id", "n_bytes", "log_prob", "bits_per_byte"]))
+        return pa.Table.from_batches(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("log_prob", pa.float64()), ("bits_per_byte", pa.float64())]))
+
+    asked = chunked.groupBy("chunk").applyInArrow(ask, "chunk int, key long")
+    table = model.table.select("key", F.col("lp").cast("float").alias("lp"), F.col("la").cast("float").alias("la"))
+    told = asked.join(table, "key").select("chunk", "key", "lp", "la")
+    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, n_bytes long, log_prob double, bits_per_byte double")
