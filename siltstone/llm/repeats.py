@@ -1,11 +1,12 @@
 """What the operators on repeated passages share: document keys, candidate documents, and the cut.
 
 Semantics (both operators, and the SQL of their queries): a window is MIN_WORDS consecutive words of one
-document. Of all equal windows the first, by (doc_id, text hash, position), stays; every other one is a
+document. Of all equal windows the first, by (doc_id, position, text hash), stays; every other one is a
 repeat, and the words of all repeats are cut, each with the white space behind it. A passage that repeats
 within one document is cut there too; what remains of a periodic text is one period.
 
-Defined cases: null text has no words and stays null; null doc_id is a key of its own and sorts first; rows
+Defined cases: null text has no words and stays null; documents with a null doc_id are told apart by their
+text, whose hash stands for the id in the order; rows
 that agree in doc_id and text are one document given twice: they aren't repeats of each other and get the
 same result; documents of under MIN_WORDS words never change; other columns are passed on untouched.
 """
@@ -24,23 +25,29 @@ KEY = ("k_id", "k_text")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Only what the search reads: the key (doc_id, hash of the text) and the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), "text")
+    """doc_id, the key of the document, and its text.
+
+    The key is (k_id, k_text): doc_id (the text's 64-bit hash where that is null) and a 32-bit hash of the
+    text, which tells texts of one doc_id apart. It travels with each place of a document, so it is small.
+    """
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k_id"), F.hash("text").alias("k_text"), "text")
 
 
-def place(*more: str) -> Column:
-    return F.struct(*KEY, *more)
+def place() -> Column:
+    """A place of a document, in order: ``at`` has the position above and k_text in the lower 32 bits."""
+    return F.struct("k_id", "at")
 
 
 def repeated(occurrences: DataFrame, key: str) -> DataFrame:
-    """The occurrences (key, k_id, k_text, pos) whose key stands at two places at least.
+    """The occurrences (key, k_id, at) whose key stands at two places at least.
 
     A window over the key: one shuffle, and a key of any number of occurrences streams from disk.
     """
     w = Window.partitionBy(key)
     return (
-        occurrences.withColumn("lo", F.min(place("pos")).over(w))
-        .withColumn("hi", F.max(place("pos")).over(w))
+        occurrences.repartition(key)  # before the window: else its argument is shuffled along
+        .withColumn("lo", F.min(place()).over(w))
+        .withColumn("hi", F.max(place()).over(w))
         .filter(F.col("lo") != F.col("hi"))
         .drop("lo", "hi")
     )
@@ -49,15 +56,14 @@ def repeated(occurrences: DataFrame, key: str) -> DataFrame:
 def later(occurrences: DataFrame, key: str) -> DataFrame:
     """All occurrences but the first of each key."""
     w = Window.partitionBy(key)
-    return occurrences.withColumn("lo", F.min(place("pos")).over(w)).filter(place("pos") != F.col("lo")).drop("lo")
+    return occurrences.repartition(key).withColumn("lo", F.min(place()).over(w)).filter(place() != F.col("lo")).drop("lo")
 
 
 def with_positions(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Each document with the sorted array ``at`` of its places; a document's array is no longer than it is."""
-    at = places.groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    at = at.withColumnsRenamed({"k_id": "p_id", "k_text": "p_text"})
-    on = docs["k_id"].eqNullSafe(at["p_id"]) & (docs["k_text"] == at["p_text"])
-    return docs.join(at, on, how).drop("p_id", "p_text")
+    """Each document with the sorted array ``at`` of its positions; the array is no longer than the document."""
+    split = places.select(F.col("k_id").alias("p_id"), F.expr("cast(shiftright(shiftleft(at, 32), 32) AS int)").alias("p_text"), F.expr("cast(shiftright(at, 32) AS int)").alias("pos"))
+    at = split.groupBy("p_id", "p_text").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    return docs.join(at, (docs["k_id"] == at["p_id"]) & (docs["k_text"] == at["p_text"]), how).drop("p_id", "p_text")
 
 
 def spans(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .repeats import MIN_WORDS, cut, keyed, repeated, with_positions
 from .substring_dedup import PLACES, _places
@@ -71,7 +70,7 @@ def sampled(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, PLACES)
 
 
-STRIPS = "h long, k_id long, k_text long, pos int, ahead int, starts int, words string"
+STRIPS = "k_id long, at long, h long, ahead int, starts int, words string"
 CHUNK_BYTES = 8 << 20
 
 
@@ -97,7 +96,7 @@ def strips(found: DataFrame, min_words: int, gram: int) -> DataFrame:
             row = np.searchsorted(offsets, begin, side="right") - 1
             out = _places(batch, h[at[first]], row, begin - offsets[row])
             ahead = pa.array((at[first] - begin).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*out.columns, ahead, pa.array(count.astype(np.int32)), pc.binary_join(text, " ")], names=["h", "k_id", "k_text", "pos", "ahead", "starts", "words"])
+            yield pa.RecordBatch.from_arrays([*out.columns, ahead, pa.array(count.astype(np.int32)), pc.binary_join(text, " ")], names=["k_id", "at", "h", "ahead", "starts", "words"])
 
     return found.mapInArrow(run, STRIPS)
 
@@ -170,7 +169,7 @@ def _later(table: pa.Table, min_words: int) -> pa.RecordBatch | None:
     text = table.column("words").combine_chunks().dictionary_encode() if table.num_rows else None
     if text is None:
         return None
-    h, ahead, starts, pos = (table.column(c).to_numpy() for c in ("h", "ahead", "starts", "pos"))
+    h, ahead, starts, k_id, place = (table.column(c).to_numpy() for c in ("h", "ahead", "starts", "k_id", "at"))
     strip = text.indices.to_numpy().astype(np.int64)
     # a strip is a minimiser, how far it is ahead, and words
     own, first, strip = np.unique(np.stack([strip, h, ahead]), axis=1, return_index=True, return_inverse=True)
@@ -194,19 +193,13 @@ def _later(table: pa.Table, min_words: int) -> pa.RecordBatch | None:
     # back to places: every row of the table has the suffixes of its strip
     k, row = ranges(begin[strip], begin[strip] + starts)
     group = class_of[k]
-    where = pos[row] + (k - begin[strip][row])
-    ids, texts = table.column("k_id").combine_chunks(), table.column("k_text").to_numpy()
-    null, ids_ = pc.is_null(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
-    by = np.lexsort((texts, ids_, ~null))
-    changed = (np.diff(texts[by], prepend=0) != 0) | (np.diff(ids_[by], prepend=0) != 0) | (np.diff(null[by].astype(np.int8), prepend=0) != 0)
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(changed)
-    place = (rank[row] << 32) + where
-    least = np.full(int(fresh.sum()), np.iinfo(np.int64).max)
-    np.minimum.at(least, group, place)
-    keep = np.flatnonzero(place != least[group])
-    take = pa.array(row[keep])
-    return pa.RecordBatch.from_arrays([pa.array(h[row[keep]]), ids.take(take), table.column("k_text").combine_chunks().take(take), pa.array(where[keep].astype(np.int32))], names=["h", "k_id", "k_text", "pos"])
+    where = place[row] + ((k - begin[strip][row]) << 32)
+    by = np.lexsort((where, k_id[row], group))  # the first of each class comes first
+    first_of = by[np.flatnonzero(np.diff(group[by], prepend=-1) != 0)]  # classes count from 0
+    first_id, first_at = k_id[row[first_of]], where[first_of]
+    keep = np.flatnonzero((k_id[row] != first_id[group]) | (where != first_at[group]))
+    at_row = row[keep]
+    return pa.RecordBatch.from_arrays([pa.array(k_id[at_row]), pa.array(where[keep]), pa.array(h[at_row])], names=["k_id", "at", "h"])
 
 
 def sorted_classes(text: DataFrame, min_words: int) -> DataFrame:
@@ -236,4 +229,4 @@ def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM)
     keys = keyed(docs)
     found = with_positions(keys, repeated(sampled(keys, min_words, gram), "h"), "inner")
     repeats = sorted_classes(strips(found, min_words, gram), min_words)
-    return cut(with_positions(keys, repeats, "left"), min_words).select(F.col("k_id").alias("doc_id"), "text", "removed_words")
+    return cut(with_positions(keys, repeats, "left"), min_words).select("doc_id", "text", "removed_words")
