@@ -25,12 +25,18 @@ KEY = ("k_id", "k_text")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the key of the document, and its text.
+    """The key of each document, its text, and its other columns by number (so that no name clashes).
 
     The key is (k_id, k_text): doc_id (the text's 64-bit hash where that is null) and a 32-bit hash of the
     text, which tells texts of one doc_id apart. It travels with each place of a document, so it is small.
     """
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k_id"), F.hash("text").alias("k_text"), "text")
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    return docs.select(*others, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k_id"), F.hash("text").alias("k_text"), "text")
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their names again, and removed_words at the end."""
+    return rows.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("removed_words"))
 
 
 def place() -> Column:
@@ -102,3 +108,12 @@ def cut(found: DataFrame, min_words: int) -> DataFrame:
 
     same = found.filter("at IS NULL").drop("at").withColumn("removed_words", F.lit(0))
     return same.unionByName(found.filter("at IS NOT NULL").mapInArrow(run, schema))
+
+
+def what_is_left(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents of which something is left, with n_chars (if there is such a column) as it is now."""
+    last = rows.toDF(*(f"c{i}" for i in range(len(columns))), "removed")
+    text = f"c{columns.index('text')}"
+    kept = last.filter((F.col("removed") == 0) | (F.btrim(text, F.lit(" \t\n\r\f\x0b")) != ""))
+    size = lambda i: F.when(F.col("removed") == 0, F.col(f"c{i}")).otherwise(F.length(text)).cast(last.schema[i].dataType)
+    return kept.select(*((size(i) if c == "n_chars" else F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)))

@@ -35,7 +35,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import keyed
 from .shared import checkpointed
 from .text import mix, rows_of, slices, words_of
 
@@ -82,6 +81,11 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The key (k_id, k_text) of a document, and its text."""
+    return docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), "text")
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """k_id, k_text, f0, f1 of the documents with words."""
 
@@ -238,10 +242,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group, all columns as they are."""
-    gone = grouped(docs, radius).filter("NOT (k_id <=> g_id AND k_text = g_text)").select("k_id", "k_text").distinct()
-    rows = docs.withColumn("_k", F.xxhash64("text")).withColumn("_h", F.xxhash64(*docs.columns))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("_h")))
+    # the key without nulls, so that one shuffle of the texts serves the window and the join
+    gone = grouped(docs, radius).filter("NOT (k_id <=> g_id AND k_text = g_text)").select(F.coalesce("k_id", "k_text").alias("k_id"), "k_text").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    rows = docs.toDF(*names).withColumn("i", F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))).withColumn("k", F.xxhash64(text)).withColumn("h", F.xxhash64(*names))
+    first = rows.repartition("i", "k").withColumn("n", F.row_number().over(Window.partitionBy("i", "k").orderBy("h")))
     # rows given twice: one stays, but for rows without words, which all stay
-    first = first.filter((F.col("_n") == 1) | F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s", "")) == ""))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("_k") == F.col("k_text"))
-    return first.join(gone, on, "left_anti").select(*docs.columns)
+    first = first.filter((F.col("n") == 1) | F.col(text).isNull() | (F.btrim(text, F.lit(" \t\n\r\f\x0b")) == ""))
+    kept = first.join(gone, (first["i"] == gone["k_id"]) & (first["k"] == gone["k_text"]), "left_anti")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import MIN_WORDS, cut, keyed, later, repeated, with_positions
+from .repeats import MIN_WORDS, cut, keyed, later, named, repeated, with_positions
 from .text import Prefix, hashes_of, mix, ranges, rows_of, slices, words_of
 
 #: Perfect difference sets: every difference modulo the period exactly once.
@@ -71,8 +71,8 @@ def extended(found: DataFrame, min_words: int = MIN_WORDS, period: int = PERIOD)
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, period: int = PERIOD) -> DataFrame:
-    """doc_id, text without repeats, removed_words: a row for each row of docs (doc_id, text)."""
+    """docs with the repeats cut from text, and a last column removed_words: a row for each row of docs."""
     keys = keyed(docs)
     found = with_positions(keys, repeated(anchors(keys, min_words, period), "h"), "inner")
     repeats = later(extended(found, min_words, period), "h")
-    return cut(with_positions(keys, repeats, "left"), min_words).select("doc_id", "text", "removed_words")
+    return named(cut(with_positions(keys, repeats, "left"), min_words), docs)

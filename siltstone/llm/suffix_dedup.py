@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .repeats import MIN_WORDS, cut, keyed, repeated, with_positions
+from .repeats import MIN_WORDS, cut, keyed, named, repeated, with_positions
 from .substring_dedup import PLACES, _places
 from .text import Prefix, hashes_of, mix, ranges, rows_of, slices, words_of
 
@@ -225,8 +225,8 @@ def sorted_classes(text: DataFrame, min_words: int) -> DataFrame:
 
 
 def suffix_dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """doc_id, text without repeats, removed_words: a row for each row of docs (doc_id, text)."""
+    """docs with the repeats cut from text, and a last column removed_words: a row for each row of docs."""
     keys = keyed(docs)
     found = with_positions(keys, repeated(sampled(keys, min_words, gram), "h"), "inner")
     repeats = sorted_classes(strips(found, min_words, gram), min_words)
-    return cut(with_positions(keys, repeats, "left"), min_words).select("doc_id", "text", "removed_words")
+    return named(cut(with_positions(keys, repeats, "left"), min_words), docs)
