@@ -47,7 +47,7 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.filter(F.length(bare) > 0).select(
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("src"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.expr(f"cast(floor(doc_id / {RANGE}) as bigint)").alias("r"),
+        F.expr(f"coalesce(cast(doc_id as bigint) div {RANGE}, -9223372036854775808L)").alias("r"),  # never null: a null-safe join would shuffle the texts again
         "text",
         (F.regexp_count(bare, F.lit(rf"[^{SPACE}]+")) + 1).cast("long").alias("n"),
     )
@@ -57,9 +57,9 @@ def packed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """src, b, doc_id, pos, piece: what each document puts into each block; pos counts words of the source."""
     rows = _words(docs)
     sums = rows.groupBy("src", "r").agg(F.sum("n").alias("total"))
-    base = sums.selectExpr("src AS b_src", "r AS b_r", "sum(total) OVER (PARTITION BY src ORDER BY r NULLS FIRST ROWS UNBOUNDED PRECEDING) - total AS base")
+    base = sums.selectExpr("src AS b_src", "r AS b_r", "sum(total) OVER (PARTITION BY src ORDER BY r ROWS UNBOUNDED PRECEDING) - total AS base")
     inner = rows.selectExpr("*", "sum(n) OVER (PARTITION BY src, r ORDER BY doc_id NULLS FIRST, text ROWS UNBOUNDED PRECEDING) - n AS inner")
-    placed = inner.join(base, (inner["src"] == base["b_src"]) & inner["r"].eqNullSafe(base["b_r"])).withColumn("start", F.col("base") + F.col("inner"))
+    placed = inner.join(base, (inner["src"] == base["b_src"]) & (inner["r"] == base["b_r"])).withColumn("start", F.col("base") + F.col("inner"))
     words = placed.withColumn("w", F.array_append(F.split(F.btrim("text", F.lit(" \t\n\r\f\x0b")), rf"[{SPACE}]+"), F.lit(END)))
     piece = F.expr(
         f"""transform(sequence(start div {block}, (start + n - 1) div {block}), b -> named_struct('b', b, 'pos', greatest(start, b * {block}),
