@@ -26,18 +26,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .suffix_dedup import CHUNK_BYTES, Suffixes, minimisers
 from .text import Prefix, hashes_of, mix, ranges, rows_of, slices, words_of
 
 MIN_WORDS = 8
 GRAM = 5
 LIMIT = 2_000_000
+SLICE = 4 << 20
+HELD = 2_000_000
 ENTITIES = {
     "&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&#60;": "<", "&gt;": ">", "&#62;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'",
     "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
     "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&", "&#38;": "&",
 }
-TAG = r"(?s)<[/!?a-zA-Z][^>]*>"
+#: One pass; an element that isn't closed is taken as a tag.
+MARKUP = r"(?is)<(?:!--.*?--|head\b.*?</head\s*|script\b.*?</script\s*|style\b.*?</style\s*|noscript\b.*?</noscript\s*|template\b.*?</template\s*|[/!?a-z][^>]*)>"
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -46,10 +50,8 @@ def host(url: str = "url") -> Column:
 
 
 def page_text(html: str = "html") -> Column:
-    """The text of a page. Inside a dropped element, scripts count to their own end (head holds some)."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>", " ")
-    t = F.regexp_replace(t, TAG, " ")
+    """The text of a page: what isn't dropped or a tag, with the usual entities decoded."""
+    t = F.regexp_replace(html, MARKUP, " ")
     for name, c in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(c))
     return t
@@ -92,94 +94,117 @@ def window_hash(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def _candidates(pages: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """Minimisers on two pages at least (h)."""
+    """Minimisers at two places of their host at least (h). A task sends each once, or twice if it has it twice."""
 
     def run(batches):
-        for batch in slices(batches):
-            *_, row, h = anchors(batch, min_words, gram)
+        held, size = [], 0
+        for batch in slices(batches, limit=SLICE):
+            *_, at, _, h = anchors(batch, min_words, gram)
             if len(h):
-                pair = np.unique(np.stack([h, row]), axis=1)
-                each, n = np.unique(pair[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
-
-    return pages.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-
-
-def marked(pages: DataFrame, hits: DataFrame, keys, limit: int = LIMIT) -> DataFrame:
-    """pages with ``at``, the sorted positions whose key is in hits (h). keys(batch): positions, rows and keys of a slice."""
-    hits = hits.persist()
-    try:
-        n = hits.count()
-        small = np.sort(hits.toArrow().column(0).combine_chunks().to_numpy()) if n <= limit else None
-    finally:
-        hits.unpersist()
-    if small is not None:  # its size is known and bounded
-        held = pages.sparkSession.sparkContext.broadcast(small)
-
-        def run(batches):
-            for batch in slices(batches):
-                pos, row, key = keys(batch)
-                found = np.zeros(len(key), bool)
+                held.append(h[np.diff(at, prepend=-1) != 0])
+                size += len(held[-1])
+            if size > HELD:
+                yield _once_or_twice(held)
+                held, size = [], 0
+        if held:
+            yield _once_or_twice(held)
+
+    # shuffled as bare keys: a partial count would only widen the rows
+    return pages.mapInArrow(run, "h long").repartition("h").groupBy("h").count().filter("count > 1").select("h")
+
+
+def _once_or_twice(held: list[np.ndarray]) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(h, np.minimum(n, 2)))], names=["h"])
+
+
+def marked(pages: DataFrame, hits: DataFrame, keys, use, schema: str, limit: int = LIMIT) -> DataFrame:
+    """use() over slices of pages and, for each, the places whose key is in hits (h).
+
+    keys(batch): work, positions, rows and keys of a slice; use(slices of (batch, work, rows, positions)): the
+    record batches of the result.
+    """
+    hits = stored(hits)
+    if hits.count() <= limit:  # its size is known and bounded
+        held = pages.sparkSession.sparkContext.broadcast(np.sort(hits.toArrow().column(0).combine_chunks().to_numpy()))
+
+        def found(batches):
+            for batch in slices(batches, limit=SLICE):
+                work, pos, row, key = keys(batch)
+                hit = np.zeros(len(key), bool)
                 if len(held.value):
                     k = np.minimum(np.searchsorted(held.value, key), len(held.value) - 1)
-                    found = held.value[k] == key
-                row, pos = row[found], pos[found]
-                edges = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-                at = pa.ListArray.from_arrays(pa.array(edges), pa.array(pos.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, at], names=[*batch.schema.names, "at"])
+                    hit = held.value[k] == key
+                yield batch, work, row[hit], pos[hit]
 
-        return pages.mapInArrow(run, pages.withColumn("at", F.array().cast("array<int>")).schema)
+        return pages.mapInArrow(lambda batches: use(found(batches)), schema)
 
     def places(batches):
-        for batch in slices(batches):
-            pos, row, key = keys(batch)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), _column(batch, "page_key").take(take), pa.array(pos.astype(np.int32))], names=["h", "p_key", "pos"])
+        for batch in slices(batches, limit=SLICE):
+            _, pos, row, key = keys(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(key), _column(batch, "page_key").take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["h", "p_key", "pos"])
+
+    def joined(batches):
+        for batch in slices(batches, limit=SLICE):
+            lists = _column(batch, "at")
+            yield batch, keys(batch)[0], np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
 
     at = pages.mapInArrow(places, "h long, p_key long, pos int").join(hits, "h", "left_semi").groupBy("p_key").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    joined = pages.join(at, pages["page_key"] == at["p_key"], "left").drop("p_key")
-    return joined.withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    return pages.join(at, pages["page_key"] == at["p_key"], "left").drop("p_key").mapInArrow(lambda batches: use(joined(batches)), schema)
 
 
 STRIPS = "h long, host_key long, ahead int, starts int, words string, lo long, hi long"
 
 
-def _strips(found: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """The distinct strips of window starts around repeated minimisers, with the least and greatest page."""
-
-    def run(batches):
-        for batch in slices(batches):
-            words, offsets, starts, at, row, h = anchors(batch, min_words, gram)
-            if not len(starts):
-                continue
-            lists = _column(batch, "at")
-            wanted = np.zeros(len(words) + 1, bool)
-            wanted[offsets[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] + lists.flatten().to_numpy()] = True
-            first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-            count = np.diff(np.append(first, len(starts)))
-            first, count = first[wanted[at[first]]], count[wanted[at[first]]]
-            if not len(first):
-                continue
-            begin = starts[first]
-            index, _ = ranges(begin, begin + count + min_words - 1)
-            edges = np.concatenate([[0], np.cumsum(count + min_words - 1)]).astype(np.int32)
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), words.take(pa.array(index))), " ").dictionary_encode()
-            key = np.stack([text.indices.to_numpy().astype(np.int64), h[first], at[first] - begin])
-            own, one, back = np.unique(key, axis=1, return_index=True, return_inverse=True)
-            page = _column(batch, "page_key").to_numpy()[row[first]]
-            lo, hi = np.full(own.shape[1], np.iinfo(np.int64).max), np.full(own.shape[1], np.iinfo(np.int64).min)
-            np.minimum.at(lo, back.reshape(-1), page)
-            np.maximum.at(hi, back.reshape(-1), page)
-            out = [pa.array(own[1]), _column(batch, "host_key").take(pa.array(row[first][one])), pa.array(own[2].astype(np.int32)), pa.array(count[one].astype(np.int32)), text.dictionary.take(pa.array(own[0])), pa.array(lo), pa.array(hi)]
-            yield pa.RecordBatch.from_arrays(out, names=["h", "host_key", "ahead", "starts", "words", "lo", "hi"])
-
-    return found.mapInArrow(run, STRIPS)
+def _strips(found):
+    """The distinct strips of window starts around repeated minimisers, with the least and greatest page (null: the same)."""
+    held, size = [], 0
+    for batch, (words, offsets, starts, at, row, h, min_words), hit_row, pos in found:
+        if not len(starts):
+            continue
+        wanted = np.zeros(len(words) + 1, bool)
+        wanted[offsets[hit_row] + pos] = True
+        first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+        count = np.diff(np.append(first, len(starts)))
+        first, count = first[wanted[at[first]]], count[wanted[at[first]]]
+        if not len(first):
+            continue
+        begin = starts[first]
+        index, _ = ranges(begin, begin + count + min_words - 1)
+        edges = np.concatenate([[0], np.cumsum(count + min_words - 1)]).astype(np.int32)
+        take = pa.array(row[first])
+        page = _column(batch, "page_key").take(take)
+        columns = [pa.array(h[first]), _column(batch, "host_key").take(take), pa.array((at[first] - begin).astype(np.int32)), pa.array(count.astype(np.int32))]
+        held.append(pa.table([*columns, pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), words.take(pa.array(index))), " "), page, page], names=NAMES))
+        size += held[-1].nbytes
+        if size > 8 << 20:
+            held = [_distinct(held)]
+            size = held[0].nbytes
+            if size > 4 << 20:
+                yield from _sent(held.pop())
+                size = 0
+    if held:
+        yield from _sent(_distinct(held))
+
+
+NAMES = ["h", "host_key", "ahead", "starts", "words", "lo", "hi"]
+
+
+def _distinct(held: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(held).group_by(NAMES[:5]).aggregate([("lo", "min"), ("hi", "max")])
+    return out.rename_columns({"lo_min": "lo", "hi_max": "hi"}).select(NAMES).combine_chunks()
+
+
+def _sent(table: pa.Table) -> list[pa.RecordBatch]:
+    hi = table.column("hi")
+    return table.set_column(6, "hi", pc.if_else(pc.equal(hi, table.column("lo")), pa.scalar(None, pa.int64()), hi)).to_batches()
 
 
 def _shared(table: pa.Table, min_words: int) -> np.ndarray:
     """The hashes of the windows in these strips that stand on two distinct pages."""
     table = table.combine_chunks()
-    h, salt, ahead, starts, lo, hi = (table.column(c).to_numpy() for c in ("h", "host_key", "ahead", "starts", "lo", "hi"))
+    h, salt, ahead, starts, lo = (table.column(c).to_numpy() for c in ("h", "host_key", "ahead", "starts", "lo"))
+    hi = pc.coalesce(table.column("hi"), table.column("lo")).to_numpy()
     words, offsets = words_of(table.column("words").combine_chunks())
     at, of = ranges(offsets[:-1], offsets[:-1] + starts)
     _, bucket = np.unique(np.stack([h[of], salt[of], ahead[of] - (at - offsets[of])]), axis=1, return_inverse=True)
@@ -222,27 +247,23 @@ def _boilerplate(strips: DataFrame, min_words: int) -> DataFrame:
     return strips.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long").distinct()
 
 
-def _unique_runs(found: DataFrame, min_words: int) -> DataFrame:
-    def run(batches):
-        for batch in slices(batches):
-            words, offsets = words_of(_column(batch, "text"))
-            lists = _column(batch, "at")
-            at = offsets[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] + lists.flatten().to_numpy()
-            gone = np.zeros(len(words) + 1, np.int64)
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + min_words, -1)
-            keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-            row = rows_of(offsets)[keep]
-            start = np.flatnonzero((np.diff(keep, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
-            runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(start, len(keep)).astype(np.int32)), words.take(pa.array(keep))), " ")
-            edges = np.searchsorted(row[start], np.arange(batch.num_rows + 1)).astype(np.int32)
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), runs), "\n")
-            text = pc.if_else(pc.is_null(_column(batch, "text")), pa.scalar(None, pa.string()), text)
-            n = np.bincount(row, minlength=batch.num_rows)
-            rest = np.diff(offsets) - n
-            yield pa.RecordBatch.from_arrays([_column(batch, "page_id"), _column(batch, "url"), _column(batch, "host"), text, pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32))], names=["page_id", "url", "host", "text", "n_words", "removed_words"])
-
-    return found.mapInArrow(run, "page_id long, url string, host string, text string, n_words int, removed_words int")
+RESULT = "page_id long, url string, host string, text string, n_words int, removed_words int"
+
+
+def _unique_runs(found):
+    for batch, (words, offsets, min_words), hit_row, pos in found:
+        at = offsets[hit_row] + pos
+        edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + min_words, minlength=len(words) + 1)
+        keep = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+        row = rows_of(offsets)[keep]
+        start = np.flatnonzero((np.diff(keep, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(start, len(keep)).astype(np.int32)), words.take(pa.array(keep))), " ")
+        edges = np.searchsorted(row[start], np.arange(batch.num_rows + 1)).astype(np.int32)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), runs), "\n")
+        text = pc.if_else(pc.is_null(_column(batch, "text")), pa.scalar(None, pa.string()), text)
+        n = np.bincount(row, minlength=batch.num_rows)
+        rest = np.diff(offsets) - n
+        yield pa.RecordBatch.from_arrays([_column(batch, "page_id"), _column(batch, "url"), _column(batch, "host"), text, pa.array(n.astype(np.int32)), pa.array(rest.astype(np.int32))], names=["page_id", "url", "host", "text", "n_words", "removed_words"])
 
 
 def main_text(pages: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
@@ -250,21 +271,21 @@ def main_text(pages: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, li
     slim = pages_of(pages)
 
     def by_anchor(batch):
-        _, offsets, _, at, row, h = anchors(batch, min_words, gram)
+        words, offsets, starts, at, row, h = anchors(batch, min_words, gram)
         first = np.flatnonzero(np.diff(at, prepend=-1) != 0)
-        return at[first] - offsets[row[first]], row[first], h[first]
+        return (words, offsets, starts, at, row, h, min_words), at[first] - offsets[row[first]], row[first], h[first]
 
     def by_window(batch):
-        _, offsets, starts, row, h = windows(batch, min_words)
-        return starts - offsets[row], row, h
+        words, offsets, starts, row, h = windows(batch, min_words)
+        return (words, offsets, min_words), starts - offsets[row], row, h
 
-    found = marked(slim.select("host_key", "page_key", "text"), _candidates(slim.select("host_key", "text"), min_words, gram), by_anchor, limit)
-    shared = _boilerplate(_strips(found, min_words, gram), min_words)
-    return _unique_runs(marked(slim, shared, by_window, limit), min_words)
+    keyed = slim.select("host_key", "page_key", "text")
+    strips = marked(keyed, _candidates(slim.select("host_key", "text"), min_words, gram), by_anchor, _strips, STRIPS, limit)
+    return marked(slim, _boilerplate(strips, min_words), by_window, _unique_runs, RESULT, limit)
 
 
 def _sql_entities() -> str:
-    t = "regexp_replace(t, '(?s)<[/!?a-zA-Z][^>]*>', ' ', 'g')"
+    t = "t"
     for name, c in ENTITIES.items():
         t = f"replace({t}, '{name}', '{c.replace(chr(39), chr(39) * 2)}')"
     return t
@@ -273,8 +294,7 @@ def _sql_entities() -> str:
 SQL = rf"""
 WITH a AS (
     SELECT page_id, url, lower(coalesce(regexp_extract(url, '{HOST}', 1), '')) AS host,
-           regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'),
-                          '(?is)<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', ' ', 'g') AS t
+           regexp_replace(html, '{MARKUP}', ' ', 'g') AS t
     FROM pages
 ), p AS (
     SELECT page_id, url, host, regexp_extract_all({_sql_entities()}, '[^ \t\n\r\f\v]+') AS w FROM a
