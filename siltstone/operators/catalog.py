@@ -170,7 +170,7 @@ class Catalog:
         name = self._pointer()
         if name is None:
             return self.spark.createDataFrame([], RECORDS)
-        return as_records(self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{name}"))
+        return as_records(self.spark.read.schema(RECORDS).parquet(f"{self.root}/{name}"))  # older files lack columns: null, then the default
 
     def replace(self, rows: DataFrame) -> None:
         jvm, fs = self._fs()

@@ -123,7 +123,7 @@ def file_groups(summaries: DataFrame, chunks: DataFrame, groups: int = 10, each:
     own = chunks.withColumn("n", F.row_number().over(Window.partitionBy("absolute_path").orderBy("rank"))).filter(F.col("n") <= each)
     lists = own.groupBy("absolute_path").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("chunk_results"))
     named = first.select("absolute_path", "filename", "file_type", F.coalesce(F.nullif("summary", F.lit("")), "content").alias("summary"), F.col("score").alias("best_score"), F.col("rank").alias("summary_rank"))
-    return named.orderBy("summary_rank").limit(groups).join(lists, "absolute_path", "left")
+    return named.orderBy("summary_rank").limit(groups).join(lists, "absolute_path", "left").orderBy("summary_rank")
 
 
 def overlap_scorer(query: str) -> Callable[[DataFrame], DataFrame]:

@@ -40,7 +40,7 @@ def scan_all(spark: SparkSession, directory: str) -> DataFrame:
             for p in pdf.absolute_path:
                 with open(p, "rb") as f:
                     s = os.stat(p)
-                    rows.append((p, pd.Timestamp(s.st_mtime, unit="s", tz="UTC"), s.st_size, f.read()))
+                    rows.append((p, pd.Timestamp(s.st_mtime_ns // 1000, unit="us", tz="UTC"), s.st_size, f.read()))
             yield pd.DataFrame(rows, columns=["absolute_path", "file_modified_at", "size", "content"])
 
     names = spark.createDataFrame([(p,) for p in found], "absolute_path string")
