@@ -50,13 +50,26 @@ def host(url: str = "url") -> Column:
 
 
 def page_text(html: str = "html") -> Column:
-    """The text of a page: what isn't dropped or a tag, with the usual entities decoded."""
+    """The text of a page: what isn't dropped or a tag. Entities that are spaces go here, the others by word in page_words()."""
     t = F.regexp_replace(html, MARKUP, " ")
     for name, c in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(c))
+        if c == " ":
+            t = F.replace(t, F.lit(name), F.lit(c))
     return t
 
 
+def page_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of() with the entities decoded: few words have one, so the texts aren't scanned for each."""
+    words, offsets = words_of(text)
+    coded = pc.match_substring(words, "&") if len(words) else None
+    if coded is not None and pc.any(coded).as_py():
+        some = words.filter(coded).to_pylist()
+        for name, c in ENTITIES.items():
+            some = [w.replace(name, c) for w in some]
+        words = pc.replace_with_mask(words, coded, pa.array(some, words.type))
+    return words, offsets
+
+
 def pages_of(pages: DataFrame) -> DataFrame:
     """page_id, url, host, the keys of page and host, and the page's whole text."""
     return pages.select(
@@ -74,7 +87,7 @@ def _salt(batch: pa.RecordBatch) -> np.ndarray:
 
 def anchors(batch: pa.RecordBatch, min_words: int, gram: int):
     """For each slice: its words, the window starts, the place of each start's minimiser, the row, and the hash within the host."""
-    words, offsets = words_of(_column(batch, "text"))
+    words, offsets = page_words(_column(batch, "text"))
     starts, at, h = minimisers(words, offsets, min_words, gram)
     row = np.searchsorted(offsets, starts, side="right") - 1
     return words, offsets, starts, at, row, mix(h[at] ^ _salt(batch)[row]).view(np.int64) if len(starts) else np.zeros(0, np.int64)
@@ -82,7 +95,7 @@ def anchors(batch: pa.RecordBatch, min_words: int, gram: int):
 
 def windows(batch: pa.RecordBatch, min_words: int):
     """All windows of a slice: words, offsets, starts, rows and hashes within the host."""
-    words, offsets = words_of(_column(batch, "text"))
+    words, offsets = page_words(_column(batch, "text"))
     row = rows_of(offsets)
     starts = np.flatnonzero(np.arange(len(words)) + min_words <= offsets[1:][row]) if len(words) else np.zeros(0, np.int64)
     row = row[starts]
