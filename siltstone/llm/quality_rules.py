@@ -204,8 +204,10 @@ def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     """docs (any columns) and a column ``quality_score``; statistics stand aside in a struct, so no name clashes."""
     held = [F.col(c).alias(f"_d{i}") for i, c in enumerate(docs.columns)]
     text = f"_d{docs.columns.index('text')}"
-    wide = docs.select(*held).select("*", *(c.cast("double").alias(n) for n, c in statistics(text).items()))
-    return wide.select(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)), model.column().alias("quality_score"))
+    # a filter on the score must stay above the statistics, or each rule would work them out again: it can't pass a random column
+    wide = docs.select(*held).select("*", *(c.cast("double").alias(n) for n, c in statistics(text).items()), F.rand(0).alias("_above"))
+    score = F.when(F.col("_above") >= 0, model.column())
+    return wide.select(*(F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)), score.alias("quality_score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
