@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, katz, mixing
+from . import html_extract, katz_words, mixing
 from .ann import neighbours
 from .decontaminate import contaminated
 from .quality_rules import quality
@@ -43,8 +43,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return katz.scored(docs, katz.train(docs))
+    return katz_words.scored(_table(spark, sf_dir, "documents"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
