@@ -71,3 +71,19 @@ def test_op7_shuffled_words_score_worse(spark):
     bits = {x.doc_id: x.bits_per_byte for x in katz_words.scored(docs).collect()}
     assert bits[100] > 1.5 * max(b for i, b in bits.items() if i < 100)
     assert katz_words.scored(docs.limit(0)).count() == 0
+
+
+def test_op5_sparse_regions_get_their_neighbours(spark):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 64))
+    x = np.concatenate([centres[r.integers(0, 40, 1170)] + 0.01 * r.normal(size=(1170, 64)), r.normal(size=(30, 64))])
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for row in ann.neighbours(t).collect():
+        found.setdefault(row.vec_id, set()).add(row.neighbour_id)
+    assert all(len(found.get(i, ())) == 10 for i in range(1200))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    true = np.argsort(-s, axis=1)[:, :10]
+    assert all(len(found[i] & set(true[i].tolist())) >= 9 for i in range(1170, 1200))
