@@ -87,3 +87,13 @@ def test_op5_sparse_regions_get_their_neighbours(spark):
     np.fill_diagonal(s, -9)
     true = np.argsort(-s, axis=1)[:, :10]
     assert all(len(found[i] & set(true[i].tolist())) >= 9 for i in range(1170, 1200))
+
+
+def test_op5_many_vectors_of_one_id_take_one_place(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(size=64)
+    near = [(7, (base + 0.001 * r.normal(size=64)).tolist()) for _ in range(15)]
+    rest = [(i, (base + 0.1 * r.normal(size=64)).tolist()) for i in range(100, 130)]
+    t = spark.createDataFrame([(1, base.tolist()), *near, *rest], "vec_id long, embedding array<float>")
+    found = [x.neighbour_id for x in ann.neighbours(t, radius=64).collect() if x.vec_id == 1]
+    assert len(found) == len(set(found)) == 10 and 7 in found
