@@ -82,20 +82,26 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 
 DECONTAMINATION_SQL = r"""
 WITH d AS (
-    SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM documents
+    SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM documents
 ), b AS (
-    SELECT item_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM benchmark
+    SELECT item_id, row_number() OVER () AS j, w, len(w) AS n FROM (SELECT DISTINCT item_id, text, regexp_extract_all(text, '[^ \t\n\r\f\v]+') AS w FROM benchmark)
 ), dg AS (
-    SELECT doc_id, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS g, unnest(range(len(w) - 7)) AS p FROM d WHERE len(w) >= 8
+    SELECT i, unnest(list_transform(range(len(w) - 12), lambda k: array_to_string(w[k + 1:k + 13], ' '))) AS g, unnest(range(len(w) - 12)) AS p FROM d WHERE len(w) >= 13
 ), bg AS (
-    SELECT item_id, len(w) AS n, unnest(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) AS g, unnest(range(len(w) - 7)) AS q FROM b WHERE len(w) >= 8
+    SELECT j, unnest(list_transform(range(n - 12), lambda k: array_to_string(w[k + 1:k + 13], ' '))) AS g, unnest(range(n - 12)) AS q FROM b WHERE n >= 13
 ), hit AS (
-    SELECT doc_id, item_id, n, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM dg JOIN bg USING (g)
+    SELECT i, j, p, q, p - row_number() OVER (PARTITION BY i, j, p - q ORDER BY p) AS island FROM dg JOIN bg USING (g)
+), sizes AS (
+    SELECT DISTINCT n FROM b WHERE n BETWEEN 1 AND 12
+), ds AS (
+    SELECT i, n, unnest(list_transform(range(len(w) - n + 1), lambda k: array_to_string(w[k + 1:k + n], ' '))) AS g, unnest(range(len(w) - n + 1)) AS p FROM d JOIN sizes ON len(w) >= n
 ), runs AS (
-    SELECT doc_id, item_id, n, min(p) AS p, min(q) AS q, count(*) + 7 AS k FROM hit GROUP BY doc_id, item_id, n, p - q, island
+    SELECT i, j, min(p) AS p, min(q) AS q, count(*) + 12 AS k FROM hit GROUP BY i, j, p - q, island
+    UNION ALL
+    SELECT i, j, p, 0, b.n FROM ds JOIN b ON b.n = ds.n AND array_to_string(b.w, ' ') = g
 )
 SELECT doc_id, item_id, CAST(k AS INTEGER) AS match_words, CAST(p AS INTEGER) AS doc_word, CAST(q AS INTEGER) AS item_word
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, p, q) AS best FROM runs WHERE k >= 13 OR k = n) WHERE best = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY k DESC, p, q) AS best FROM runs) AS r JOIN d USING (i) JOIN b USING (j) WHERE best = 1
 """
 
 QUERIES = {
