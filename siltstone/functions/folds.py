@@ -67,6 +67,34 @@ def markdown_chunks(size: int = 500, overlap: float = 0.15):
     return run
 
 
+def split_plain(text: str | None, size: int = 500, overlap: float = 0.15) -> list[str]:
+    """Word windows; see text.plain_chunks()."""
+    w, out, at, step = (text or "").split(), [], 0, max(1, int(size * (1 - overlap)))
+    while at < len(w):
+        out.append(" ".join(w[at : at + size]))
+        if at + size >= len(w):
+            break
+        at += step
+    return out
+
+
+def document_chunks(size: int = 500, overlap: float = 0.15, splitter=split_markdown):
+    """Along the structure of the text; by word windows if that fails."""
+
+    def cut(text: str | None) -> list[str]:
+        try:
+            return splitter(text, size, overlap)
+        except Exception:  # noqa: BLE001 any failure of the structured way
+            return split_plain(text, size, overlap)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(cut)
+
+    return run
+
+
 def subtitle_windows(cues: DataFrame, key: str, window: float = 30.0, carry: float = 5.0) -> DataFrame:
     """Cues (key, start, end, text) folded into windows: key, chunk_index, timestamp_start, timestamp_end, content.
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.schema import EXTENSIONS, MIME
 
 TOKEN = r"[a-zA-Z0-9][a-zA-Z0-9'+-]*"
+_TOKEN = re.compile(TOKEN)
 
 
 def _literal_map(values: dict[str, str]) -> Column:
@@ -124,13 +131,33 @@ def bucket(token: Column, dim: int = 64) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
+def hashed_vector(dim: int = 64):
+    """A column function: the unit vector of a text's hashed term counts; the zero vector without terms. Arrow-batched, and no term is shuffled."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for series in texts:
+            if len(known) > 1_000_000:
+                known.clear()
+            out = []
+            for text in series:
+                v = np.zeros(dim)
+                for t in _TOKEN.findall(text or ""):
+                    k = known.get(t)
+                    if k is None:
+                        k = known[t] = int(hashlib.md5(t.lower().encode()).hexdigest()[:8], 16) % dim
+                    v[k] += 1.0
+                norm = float((v @ v) ** 0.5)
+                out.append(v / norm if norm else v)
+            yield pd.Series(out)
+
+    return run
+
+
 def hashed_vectors(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """key and the unit vector of hashed term counts; rows without terms get the zero vector."""
-    counts = rows.select(key, F.explode_outer(tokens(text)).alias("t")).groupBy(key, bucket(F.col("t"), dim).alias("b")).count()
-    entry = F.when(F.col("b").isNotNull(), F.struct("b", F.col("count").cast("double").alias("c")))
-    full = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return full.select(key, normalised(raw).alias("vector"))
+    """key and the hashed_vector() of the text."""
+    return rows.select(key, hashed_vector(dim)(text).alias("vector"))
 
 
 def normalised(v: Column | str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,15 @@ def with_metadata(files: DataFrame) -> DataFrame:
     )
 
 
+def structured_chunks(files: DataFrame, size: int = 500, overlap: float = 0.15) -> DataFrame:
+    """Chunk records along the structure of the texts, by word windows where that fails: what ingestion makes of documents."""
+    from siltstone.functions.folds import document_chunks
+
+    cut = files.withColumn("_c", document_chunks(size, overlap)("content")).drop("content")
+    rows = cut.select("*", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "content")).drop("_c")
+    return rows.withColumn("id", F.concat("absolute_path", F.lit("#"), F.col("chunk_index").cast("string"))).withColumn("record_type", F.lit("chunk")).withColumn("summary", F.lit(""))
+
+
 def chunk_records(files: DataFrame, size: int = 500, overlap: float = 0.15) -> DataFrame:
     rows = chunked(files, "content", size, overlap)
     return rows.withColumn("id", F.concat("absolute_path", F.lit("#"), F.col("chunk_index").cast("string"))).withColumn("record_type", F.lit("chunk")).withColumn("summary", F.lit(""))
@@ -84,8 +95,16 @@ def first_copies(files: DataFrame) -> DataFrame:
     return files.withColumn("_n", F.row_number().over(Window.partitionBy("file_hash").orderBy("absolute_path"))).filter("_n = 1").drop("_n")
 
 
+def one_each(rows: DataFrame, key: str = "id", *order: str) -> DataFrame:
+    """One row a key: the last by these columns (created_at and content, as far as there are such), then by all."""
+    by = [c for c in (*order, "created_at", "content") if c in rows.columns]
+    by = [F.desc(c) for c in by] + [F.desc(F.xxhash64(*rows.columns))]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter("_n = 1").drop("_n")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """new over old: the rows of new, and those of old whose key new hasn't."""
+    """new over old: the rows of new, one a key, and those of old whose key new hasn't."""
+    new = one_each(new, key)
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -103,7 +122,7 @@ def deleted_by_path(records: DataFrame, path: str) -> DataFrame:
 
 
 def deleted_by_folder(records: DataFrame, folder: str) -> DataFrame:
-    return records.filter(~F.coalesce(in_folder("parent_directory", folder) | in_folder("absolute_path", folder), F.lit(False)))
+    return records.filter(~_inside(folder))
 
 
 def folders(records: DataFrame) -> DataFrame:
@@ -111,11 +130,15 @@ def folders(records: DataFrame) -> DataFrame:
 
 
 def stats(records: DataFrame) -> DataFrame:
-    """name, value: total_records, total_files, total_folders and count_<file type>, in one pass and one small union."""
-    one = records.agg(F.count("*").alias("total_records"), F.count_distinct("absolute_path").alias("total_files"), F.count_distinct("parent_directory").alias("total_folders"))
-    wide = one.select(F.expr("stack(3, 'total_records', total_records, 'total_files', total_files, 'total_folders', total_folders) AS (name, value)"))
-    kinds = records.filter("file_type != ''").groupBy("file_type").count().select(F.concat(F.lit("count_"), "file_type").alias("name"), F.col("count").alias("value"))
-    return wide.unionByName(kinds)
+    """name, value: total_records, total_files, total_folders and count_<file type>, in one scan whose pairs (kind, value) are added up by task."""
+    counted = (("total_records", F.lit("")), ("total_files", F.col("absolute_path")), ("total_folders", F.col("parent_directory")), ("count_", F.col("file_type")))
+    pairs = records.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in counted))).alias("x"))
+    sums = pairs.groupBy("x.kind", "x.value").agg(F.count("*").alias("n")).filter("kind != 'count_' OR value != ''")
+    none = records.sparkSession.range(1).select(F.explode(F.array(*(F.lit(k) for k, _ in counted[:3]))).alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
+    distinct = F.col("kind").isin("total_files", "total_folders")
+    name = F.when(F.col("kind") == "count_", F.concat("kind", "value")).otherwise(F.col("kind"))
+    total = sums.unionByName(none).groupBy(name.alias("name"), "kind").agg(F.sum("n").alias("n"), F.count("value").alias("d"))
+    return total.select("name", F.when(distinct, F.col("d")).otherwise(F.col("n")).alias("value"))
 
 
 def file_chunks(records: DataFrame, path: str) -> DataFrame:
@@ -132,76 +155,200 @@ def progress(jobs: DataFrame) -> DataFrame:
     )
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """rows as a table in the folder that all executors share (spark.checkpoint.dir; in local mode a temporary one if unset)."""
-    sc = rows.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); in local mode a temporary one if unset."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if root is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siltstone-")
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder."""
+    path = f"{shared_root(rows.sparkSession)}/table-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
 class Catalog:
-    """The stored table as snapshots of partitioned Parquet: each change writes a new one, then moves a pointer.
+    """The stored table as a log of commits over Parquet: each change adds one, in proportion to the change.
 
-    A reader sees the old snapshot or the new one; a failed write leaves the old one in place.
+    A commit is a numbered file in LOG that names the parts of the table: folders of records (a part) and what they or
+    the commit put out of force in earlier parts: ids (upsert), paths (replacement, deletion), folders. The file is written
+    aside and renamed to its number, and no earlier one is touched before: a reader sees the table before or after a
+    commit, and a writer that dies in between leaves the table as it was. When more than COMPACT parts stand, the next
+    commit writes the table as one part. expire() removes what only older commits name. One writer at a time.
     """
 
+    LOG, COMPACT = "_log", 16
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> str | None:
-        jvm, fs = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-
-    def records(self) -> DataFrame:
-        name = self._pointer()
-        if name is None:
+        return lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        at, fs = self._fs()
+        if not fs.exists(at(self.LOG)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(at(self.LOG))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _parts(self, version: int | None = None) -> list[dict]:
+        known = self.versions()
+        if not known:
+            return []
+        at, fs = self._fs()
+        stream = fs.open(at(f"{self.LOG}/{version or known[-1]:012d}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, parts: list[dict]) -> None:
+        at, fs = self._fs()
+        number = (self.versions() or [0])[-1] + 1
+        aside, final = at(f"{self.LOG}/.{uuid.uuid4().hex}"), at(f"{self.LOG}/{number:012d}.json")
+        out = fs.create(aside, False)
+        try:
+            out.write(bytearray(json.dumps(parts).encode()))
+        finally:
+            out.close()
+        if fs.exists(final) or not fs.rename(aside, final):
+            raise OSError(f"commit {number} of {self.root} can't be made")
+
+    def records(self, version: int | None = None) -> DataFrame:
+        """The table as of the last commit, or of this one."""
+        return as_records(self._in_force(self._parts(version)))
+
+    def _in_force(self, parts: list[dict]) -> DataFrame:
+        rows, ids, paths = None, [], []
+        for n, part in enumerate(parts):
+            if part.get("data"):
+                # older files lack columns: null, then the default
+                own = self.spark.read.schema(RECORDS).parquet(f"{self.root}/{part['data']}").withColumn("_v", F.lit(n))
+                rows = own if rows is None else rows.unionByName(own)
+            if part.get("ids"):
+                ids.append(self.spark.read.parquet(f"{self.root}/{part['ids']}").select(F.col("id").alias("_id"), F.lit(n).alias("_n")))
+            if part.get("paths"):
+                paths.append(self.spark.read.parquet(f"{self.root}/{part['paths']}").select(F.col("absolute_path").alias("_id"), F.lit(n).alias("_n")))
+        if rows is None:
             return self.spark.createDataFrame([], RECORDS)
-        return as_records(self.spark.read.schema(RECORDS).parquet(f"{self.root}/{name}"))  # older files lack columns: null, then the default
+        for n, part in enumerate(parts):
+            if part.get("folder"):
+                rows = rows.filter((F.col("_v") >= n) | ~_inside(part["folder"]))
+        for key, dead in (("id", ids), ("absolute_path", paths)):
+            if dead:
+                last = reduce(DataFrame.unionByName, dead).groupBy("_id").agg(F.max("_n").alias("_n"))
+                rows = rows.join(last, (rows[key] == last["_id"]) & (rows["_v"] < last["_n"]), "left_anti")
+        return rows.drop("_v")
+
+    def _written(self, rows: DataFrame, by_type: bool = True) -> str:
+        name = f"part-{uuid.uuid4().hex}"
+        writer = rows.write.partitionBy("record_type") if by_type else rows.write
+        writer.parquet(f"{self.root}/{name}")
+        return name
+
+    def _add(self, **part) -> None:
+        parts = [*self._parts(), {k: v for k, v in part.items() if v}]
+        if len(parts) > self.COMPACT:
+            parts = [{"data": self._written(as_records(self._in_force(parts)))}]
+        self._commit(parts)
+
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.schema(RECORDS).parquet(f"{self.root}/{name}")
+
+    def compact(self) -> None:
+        """Writes the table as one part."""
+        self.replace(self.records())
 
     def replace(self, rows: DataFrame) -> None:
-        jvm, fs = self._fs()
-        name = f"snapshot-{uuid.uuid4().hex}"
-        as_records(rows).write.partitionBy("record_type").parquet(f"{self.root}/{name}")
-        new, old = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}") for x in (f"{name}.pointer", "CURRENT"))
-        out = fs.create(new)
-        out.write(bytearray(name.encode()))
-        out.close()
-        if fs.exists(old):
-            fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"the pointer of {self.root} can't be moved")
+        """These rows and no others."""
+        self._commit([{"data": self._written(as_records(rows))}])
 
     def upsert(self, rows: DataFrame) -> int:
-        new = as_records(rows)
-        self.replace(upserted(self.records(), new))
-        return new.count()
+        """Adds rows, in place of those of the same ids; of several rows of an id the last by (created_at, content) counts. Returns their number."""
+        name = self._written(one_each(as_records(rows)))
+        self._add(data=name, ids=name)
+        return self._stored(name).count()
 
     def append(self, rows: DataFrame) -> int:
-        new = as_records(rows)
-        self.replace(self.records().unionByName(new))
-        return new.count()
+        name = self._written(as_records(rows))
+        self._add(data=name)
+        return self._stored(name).count()
+
+    def replace_paths(self, paths: DataFrame, rows: DataFrame) -> int:
+        """rows in place of all records of these paths (absolute_path); rows are worked out once. Returns their number."""
+        name = self._written(as_records(rows))
+        dead = self._written(paths.select("absolute_path").distinct(), False)
+        self._add(data=name, paths=dead)
+        return self._stored(name).count()
 
     def delete_by_path(self, path: str) -> int:
-        return self._shrink(deleted_by_path(self.records(), path))
+        n = self.records().filter(F.col("absolute_path") == path).count()
+        if n:
+            self._add(paths=self._written(self.spark.createDataFrame([(path,)], "absolute_path string"), False))
+        return n
 
     def delete_by_folder(self, folder: str) -> int:
-        return self._shrink(deleted_by_folder(self.records(), folder))
+        n = self.records().filter(_inside(folder)).count()
+        if n:
+            self._add(folder=folder)
+        return n
+
+    def keep_only(self, present: DataFrame) -> int:
+        """Deletes the records of paths that aren't in present (absolute_path): files that are gone. Returns their number."""
+        gone = self.records().join(present.select("absolute_path").distinct(), "absolute_path", "left_anti")
+        dead = self._written(gone.select("absolute_path").distinct(), False)
+        n = gone.count()
+        if n:
+            self._add(paths=dead)
+        return n
+
+    def by_hash(self, file_hash: str) -> DataFrame:
+        """The records of a content."""
+        return self.records().filter(F.col("file_hash") == file_hash)
+
+    def needs_reindex(self, file_hash: str) -> bool:
+        return self.by_hash(file_hash).isEmpty()
+
+    def file_chunks(self, path: str) -> DataFrame:
+        return file_chunks(self.records(), path)
+
+    def folders(self) -> DataFrame:
+        return folders(self.records())
+
+    def stats(self) -> DataFrame:
+        return stats(self.records())
+
+    def search(self, vector: list[float], k: int = 10, **limits) -> DataFrame:
+        from siltstone.operators.search import cosine_topk
+
+        return cosine_topk(self.records(), vector, k, **limits)
+
+    def search_lexical(self, query: str, k: int = 10, **limits) -> DataFrame:
+        from siltstone.operators.search import bm25_topk
+
+        return bm25_topk(self.records(), query, k, **limits)
+
+    def expire(self, keep: int = 1) -> int:
+        """Removes all commits but the last ``keep``, and what they alone name. Returns the number of folders removed."""
+        at, fs = self._fs()
+        known = self.versions()
+        used = {x for v in known[-keep:] for part in self._parts(v) for x in (part.get("data"), part.get("ids"), part.get("paths"))}
+        for v in known[:-keep]:
+            fs.delete(at(f"{self.LOG}/{v:012d}.json"), False)
+        old = [f.getPath() for f in fs.listStatus(at("")) if f.getPath().getName().startswith("part-") and f.getPath().getName() not in used] if known else []
+        for path in old:
+            fs.delete(path, True)
+        return len(old)
+
 
-    def _shrink(self, kept: DataFrame) -> int:
-        before = self.records().count()
-        self.replace(kept)
-        return before - self.records().count()
+def _inside(folder: str) -> Column:
+    return F.coalesce(in_folder("parent_directory", folder) | in_folder("absolute_path", folder), F.lit(False))

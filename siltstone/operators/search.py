@@ -6,16 +6,21 @@ smaller id. Query sides (a vector, a few terms) are literals; corpora are never
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltstone.functions.text import in_folder, tokens
+from siltstone.functions.text import TOKEN, in_folder, tokens
+from siltstone.operators.catalog import written
 from siltstone.schema import Settings
 
+TERM = re.compile(TOKEN)
 
 def filtered(records: DataFrame, folder: str | None = None, file_type: str | None = None, record_types: list[str] | None = None, prefix_compat: bool = False) -> DataFrame:
     """Records within all of the given limits; None: no limit, an empty list: nothing. Pushed down to the scan."""
@@ -29,6 +34,11 @@ def filtered(records: DataFrame, folder: str | None = None, file_type: str | Non
     return records.filter(reduce(lambda a, b: a & b, limits)) if limits else records
 
 
+def parsed_vector(text: Column | str) -> Column:
+    """The vector of a text such as [1, 2.5]; null if it isn't one."""
+    return F.from_json(text, "array<double>")
+
+
 def cosine(vector: Column | str, query: list[float]) -> Column:
     """Cosine similarity clamped to 0..1, in doubles; null for vectors that are null, zero or of another length."""
     v = F.col(vector) if isinstance(vector, str) else vector
@@ -55,39 +65,198 @@ def _times(terms: str, term: str) -> Column:
     return F.size(F.filter(terms, lambda x: x == F.lit(term)))
 
 
-def bm25(records: DataFrame, terms: list[str], key: str = "id", text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """records with ``score``, zero for records without a hit. A term asked m times counts m times, in df as well.
-
-    Document frequencies, their number and mean length are those of the records given, in one pass of
-    map-side sums; no term is shuffled.
-    """
-    asked = sorted(Counter(terms).items())
-    t = records.withColumn("_t", tokens(F.coalesce(text, F.lit(""))))
-    t = t.withColumns({f"_f{i}": _times("_t", w) for i, (w, _) in enumerate(asked)}).withColumn("_n", F.size("_t")).drop("_t")
-    stats = t.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(asked))))
-    joined = t.crossJoin(F.broadcast(stats))  # one row
+def _scored(counts: DataFrame, stats: DataFrame, multiples: list[int], k1: float, b: float) -> DataFrame:
+    """counts (_n, _f0, ...) with ``score``; stats: one row of _docs, _mean, _d0, ..."""
+    joined = counts.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for i, (_, m) in enumerate(asked):
+    for i, m in enumerate(multiples):
         idf = F.ln((F.col("_docs") + 1) / (m * F.col(f"_d{i}") + 0.5))
         tf = F.col(f"_f{i}")
         part = m * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest("_n", F.lit(1)) / F.greatest("_mean", F.lit(1e-9))))
         score = score + F.when(tf > 0, part).otherwise(F.lit(0.0))
-    return joined.select(*records.columns, F.round(score, 6).alias("score"))
+    return joined.withColumn("score", F.round(score, 6))
+
+
+def _statistics(counts: DataFrame, n: int) -> DataFrame:
+    return counts.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(n)))
+
 
+def term_counts(terms: list[str], stem: bool = False):
+    """A column function: from a text the number of its terms, and of each of these, as an array (Arrow-batched: one scan of a text for all terms)."""
+    at = {t: i + 1 for i, t in enumerate(terms)}
+
+    @F.pandas_udf("array<int>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            out = []
+            for text in series:
+                found, n = [0] * (len(at) + 1), 0
+                for t in TERM.findall(text or ""):
+                    n += 1
+                    t = t.lower()
+                    k = at.get(stemmed(t) if stem else t)
+                    if k:
+                        found[k] += 1
+                found[0] = n
+                out.append(found)
+            yield pd.Series(out)
+
+    return run
+
+
+def bm25(records: DataFrame, terms: list[str], key: str = "id", text: str = "content", k1: float = 1.2, b: float = 0.75, stem: bool = False) -> DataFrame:
+    """key and ``score``, zero for records without a hit. A term asked m times counts m times, in df as well.
+
+    Document frequencies, their number and mean length are those of the records given, by map-side sums; no term is
+    shuffled. The counts, a few numbers a record, are stored, so texts are read and cut into terms once.
+    """
+    asked = sorted(Counter(stemmed(t) if stem else t for t in terms).items())
+    counts = records.select(key, term_counts([w for w, _ in asked], stem)(F.coalesce(text, F.lit(""))).alias("_c"))
+    counts = written(counts.select(key, F.col("_c")[0].alias("_n"), *(F.col("_c")[i + 1].alias(f"_f{i}") for i in range(len(asked)))))
+    return _scored(counts, _statistics(counts, len(asked)), [m for _, m in asked], k1, b)
 
-def bm25_topk(records: DataFrame, query: str | list[str], k: int = 10, key: str = "id", text: str = "content", conjunctive: bool = False, **limits) -> DataFrame:
-    """The k best by BM25 among those with a positive score, normalised to a best of 1."""
-    import re
 
-    terms = query if isinstance(query, list) else [m.lower() for m in re.findall(r"[a-zA-Z0-9][a-zA-Z0-9'+-]*", query)]
+def query_terms(query: str | list[str]) -> list[str]:
+    return query if isinstance(query, list) else [m.lower() for m in TERM.findall(query)]
+
+
+def _best(scored: DataFrame, terms: list[str], k: int, key: str, conjunctive: bool) -> DataFrame:
+    """key, score, rank: the k best with a positive score, normalised to a best of 1."""
+    if conjunctive:
+        scored = scored.filter(reduce(lambda a, b: a & b, (F.col(f"_f{i}") > 0 for i in range(len(set(terms))))))
+    best = top(scored.select(key, "score"), k, key=key).filter("score > 0")
+    return best.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy()), 6))
+
+
+def bm25_ranked(records: DataFrame, query: str | list[str], k: int = 10, key: str = "id", text: str = "content", conjunctive: bool = False, stem: bool = False, **limits) -> DataFrame:
+    """key, score, rank: the k best by BM25 among those with a positive score, normalised to a best of 1. stem: English endings don't count."""
+    terms = query_terms(query)
+    rows = filtered(records, **limits)
+    if not terms:
+        return top(rows.select(key, F.lit(0.0).alias("score")).filter(F.lit(False)), k, key=key)
+    own = sorted({stemmed(t) for t in terms}) if stem else terms
+    return _best(bm25(rows, terms, key, text, stem=stem), own, k, key, conjunctive)
+
+
+def bm25_topk(records: DataFrame, query: str | list[str], k: int = 10, key: str = "id", **how) -> DataFrame:
+    """The records of bm25_ranked(), with its score and rank."""
+    return records.join(F.broadcast(bm25_ranked(records, query, k, key, **how)), key)  # at most k rows
+
+
+class Postings:
+    """A stored index of terms: by bucket of the term the records that hold it, and the records' lengths and limits.
+
+    A query reads the buckets of its terms only (a partition each, with the term pushed to the scan), and the lengths.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    @classmethod
+    def build(cls, records: DataFrame, root: str, key: str = "id", text: str = "content") -> Postings:
+        """Writes the index of these records to a new folder."""
+        limits = [c for c in ("parent_directory", "file_type", "record_type") if c in records.columns]
+        found = records.select(key, *limits, term_frequencies(F.coalesce(text, F.lit(""))).alias("_t"))
+        n = F.aggregate(F.map_values("_t"), F.lit(0), lambda a, x: a + x)
+        found.select(F.col(key).alias("id"), *limits, n.alias("_n")).write.parquet(f"{root}/lengths")
+        terms = found.select(F.col(key).alias("id"), F.explode("_t").alias("term", "tf"))
+        terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
+        return cls(records.sparkSession, root)
+
+    def top(self, query: str | list[str], k: int = 10, conjunctive: bool = False, **limits) -> DataFrame:
+        """id, score, rank: as bm25_topk() over the indexed records within these limits."""
+        terms = query_terms(query)
+        asked = sorted(Counter(terms).items())
+        lengths = filtered(self.spark.read.parquet(f"{self.root}/lengths"), **limits)
+        if not asked:
+            return top(lengths.select("id", F.lit(0.0).alias("score")).filter(F.lit(False)), k)
+        words = [w for w, _ in asked]
+        buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.BUCKETS)).cast("int")).collect()]
+        hits = self.spark.read.parquet(f"{self.root}/terms").filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
+        tf = hits.groupBy("id").agg(*(F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"_f{i}") for i, w in enumerate(words)))
+        counts = lengths.join(tf, "id", "left").na.fill(0, [f"_f{i}" for i in range(len(words))])
+        return _best(_scored(counts, _statistics(counts, len(words)), [m for _, m in asked], 1.2, 0.75), words, k, "id", conjunctive)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def term_frequencies(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """How often each term of a text occurs in it."""
+    for series in texts:
+        yield series.map(lambda text: dict(Counter(t.lower() for t in TERM.findall(text or ""))))
+
+
+_ENDINGS = (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
+
+
+def stemmed(term: str) -> str:
+    """The term without a common English ending: light, and for matching only."""
+    for end, put in _ENDINGS:
+        if term.endswith(end) and not (end == "s" and term.endswith(("ss", "us", "is"))):
+            stem = term[: len(term) - len(end)] + put
+            if len(stem) >= 3 and any(c in "aeiouy" for c in stem):
+                if end in ("ing", "ed") and len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz":
+                    stem = stem[:-1]
+                return stem
+    return term
+
+
+def cover_density(terms: list[str]):
+    """A column function: the sum, over the shortest stretches of a text that hold all the terms, of 1 / the stretch's length beyond them.
+
+    A stretch that is exactly the terms counts 1; longer ones count less; texts without all terms score 0.
+    """
+    asked = sorted({stemmed(t) for t in terms})
+
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield series.map(lambda text: _density([stemmed(t.lower()) for t in TERM.findall(text or "")], asked))
+
+    return run
+
+
+def _density(words: list[str], asked: list[str]) -> float:
+    last, total, left = {}, 0.0, -1
+    for i, w in enumerate(words):
+        if w in asked:
+            last[w] = i
+            if len(last) == len(asked):
+                begin = min(last.values())
+                if begin > left:  # a stretch that holds no other
+                    total += 1.0 / (1 + i - begin + 1 - len(asked))
+                    left = begin
+    return round(total, 6)
+
+
+def cover_topk(records: DataFrame, query: str, k: int = 10, key: str = "id", text: str = "content", **limits) -> DataFrame:
+    """The k best by cover density of stemmed terms, all of which must occur; normalised to a best of 1."""
+    terms = query_terms(query)
     rows = filtered(records, **limits)
     if not terms:
         return top(rows.withColumn("score", F.lit(0.0)).filter(F.lit(False)), k, key=key)
-    scored = bm25(rows, terms, key, text)
-    if conjunctive:
-        scored = scored.filter(F.forall(F.array(*(F.lit(t) for t in sorted(set(terms)))), lambda w: F.array_contains(tokens(text), w)))
-    best = top(scored, k, key=key).filter("score > 0")
-    return best.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy()), 6))
+    best = top(rows.select(key, cover_density(terms)(F.coalesce(text, F.lit(""))).alias("score")).filter("score > 0"), k, key=key)
+    return rows.join(F.broadcast(best.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy()), 6))), key)  # at most k rows
+
+
+def summary_search(records: DataFrame, vector: list[float], k: int = 10, rerank: Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings(), **limits) -> tuple[DataFrame, DataFrame]:
+    """Summaries nearest to the vector, re-ranked if told, and their file groups. Without any, both are empty."""
+    pool = cosine_topk(records, vector, max(k, settings.rerank_top_n) if rerank else k, record_types=["summary"], **limits)
+    hits = top(rerank(pool.drop("rank")), k) if rerank else pool
+    chunks = cosine_topk(records, vector, max(5 * k, 25), record_types=["chunk"], **limits)
+    return hits, file_groups(hits, chunks, settings.max_groups, settings.chunks_per_group)
+
+
+def query_hint(chunks: DataFrame) -> DataFrame:
+    """One row, ``hint``: the content of the best chunk, for a re-ranker when only a vector is known."""
+    return chunks.agg(F.max_by("content", F.struct("score", -F.col("rank"))).alias("hint"))
+
+
+def result_cards(hits: DataFrame) -> DataFrame:
+    """What a result list shows: rank, percent (of the score), filename, path and content."""
+    return hits.select("rank", F.floor(F.round(F.col("score") * 100, 6)).cast("int").alias("percent"), "filename", "absolute_path", "content")
 
 
 def fused(lists: list[DataFrame], k: int = 60, key: str = "id") -> DataFrame:
@@ -109,7 +278,7 @@ def hybrid(records: DataFrame, query: str, vector: list[float], settings: Settin
     summaries = cosine_topk(records, vector, k, record_types=["summary"], **limits)
     by_vector = chunks.unionByName(summaries.select("id", "score", F.lit(2).alias("kind")))
     by_vector = by_vector.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "kind", "id")))
-    lexical = bm25_topk(records, query, max(10 * k, 100), **limits)
+    lexical = bm25_ranked(records, query, max(10 * k, 100), **limits)
     pool = fused([by_vector, lexical, summaries], settings.rrf_k).orderBy(*fused_order())
     pool = pool.limit(max(k, settings.rerank_top_n) if rerank else k)
     if rerank:
@@ -150,6 +319,31 @@ def context_blocks(hits: DataFrame) -> DataFrame:
     return parts.select(F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def full_context(hits: DataFrame, groups: DataFrame) -> str:
+    """The context for an answer: the files with their summaries, then the numbered blocks."""
+    files = group_lines(groups).first().text
+    blocks = context_blocks(hits).first().context
+    return f"Matching files:\n{files}\n\n{blocks}" if files else blocks
+
+
+def group_lines(groups: DataFrame) -> DataFrame:
+    """One row, ``text``: the file groups in order, each with its score, path and summary; empty without any."""
+    line = F.format_string("- %s (score %.2f)\n  %s\n  %s", "filename", "best_score", "absolute_path", F.coalesce("summary", F.lit("")))
+    rows = groups.select(F.struct("summary_rank", line.alias("l")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("a"))
+    return rows.select(F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("text"))
+
+
+CHUNK_VIEW = ("chunk_index", "total_chunks", "content", "timestamp_start", "timestamp_end")
+
+
+def as_json(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row, ``json``: the rows, in the order of these columns, as a JSON array; of one column its values, of several objects. Nulls stay."""
+    order = F.struct(*(F.col(c) for c in columns))
+    every = rows.agg(F.array_sort(F.collect_list(order)).alias("a"))
+    value = F.transform("a", lambda x: x[columns[0]]) if len(columns) == 1 else F.col("a")
+    return every.select(F.to_json(value, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def lsh_topk(records: DataFrame, query: list[float], k: int = 10, key: str = "id", vector: str = "vector", tables: int = 16, width: float = 1.5) -> DataFrame:
     """Approximate: random-projection buckets over unit vectors, candidates re-scored exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

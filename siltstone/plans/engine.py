@@ -1,56 +1,24 @@
-"""The search façade: providers, retrieval, the relevance gate with its retries, the answer; and ingestion."""
+"""The search façade: retrieval, the relevance gate with its retries, the answer, the tools; and ingestion."""
 
 from __future__ import annotations
 
-import re
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import bucket, hashed_vectors, tokens
-from siltstone.operators import catalog, search
+from siltstone.functions.text import hashed_vector, hashed_vectors
+from siltstone.operators import catalog, media, search
+from siltstone.plans.providers import Providers, hashed_query, plain_rewriter, template_answer
 from siltstone.schema import Settings
 
-STOP = {"please", "find", "show", "me", "the", "a", "an", "of", "for", "about", "what", "is", "are", "where", "how", "do", "does"}
+__all__ = ["Engine", "Providers", "Response", "build_records", "hashed_query", "ingest", "plain_rewriter", "register_functions", "template_answer"]
 NOTHING = "No sufficiently relevant content was found in the index."
 
 
-def hashed_query(records: DataFrame, query: str, dim: int = 64) -> list[float]:
-    """The query's vector under the same hashing as hashed_vectors()."""
-    row = records.sparkSession.range(1).select(F.transform(tokens(F.lit(query)), lambda t: bucket(t, dim)).alias("b")).first()
-    v = [0.0] * dim
-    for b in row.b:
-        v[b] += 1.0
-    norm = sum(x * x for x in v) ** 0.5
-    return [x / norm for x in v] if norm else v
-
-
-def plain_rewriter(query: str, history: list[str]) -> str:
-    """Without a model: the query's terms but for filler words; the query itself if nothing is left."""
-    kept = [t for t in re.findall(r"[\w'+-]+", query.lower()) if t not in STOP]
-    return " ".join(kept) or query
-
-
-def template_answer(query: str, context: str) -> str:
-    """Without a model: the context under the question."""
-    return f"Results for: {query}\n\n{context}"
-
-
-@dataclass
-class Providers:
-    """What a model may stand in for; all defaults work offline and are honest stand-ins, not their equals."""
-
-    embed_query: Callable[[DataFrame, str], list[float]] = hashed_query
-    embed_rows: Callable[[DataFrame, str, str], DataFrame] = hashed_vectors
-    rewrite: Callable[[str, list[str]], str] = plain_rewriter
-    answer: Callable[[str, str], str] = template_answer
-    summarise: Callable = lambda text: F.substring(text, 1, 200)
-    scorer: Callable[[str], Callable[[DataFrame], DataFrame]] | None = None
-
-
 @dataclass
 class Response:
     query: str
@@ -74,36 +42,58 @@ class Engine:
         s, r = self.settings, self.records
         k = max(1, min(50, k or s.top_k))
         v = self.providers.embed_query(r, query)
+        rerank = None
+        if self.providers.scorer:
+            score = self.providers.scorer(query)
+            rerank = lambda pool: score(pool if "content" in pool.columns else pool.join(r.select("id", "content"), "id"))
+        if mode == "summary":
+            return search.summary_search(r, v, k, rerank, s, **limits)
         chunks = search.cosine_topk(r, v, max(5 * k, 25), record_types=["chunk"], **limits)
         summaries = search.cosine_topk(r, v, k, record_types=["summary"], **limits)
         groups = search.file_groups(summaries, chunks, s.max_groups, s.chunks_per_group)
         if mode == "chunk":
             return search.top(chunks.drop("rank"), k), groups
-        if mode == "summary":
-            return summaries, groups
-        rerank = None
-        if self.providers.scorer:
-            score = self.providers.scorer(query)
-            rerank = lambda pool: score(pool.join(r.select("id", "content"), "id"))
         ranked = search.hybrid(r, query, v, s, k, rerank, **limits).select("id", "score", "rank")
-        return r.join(ranked, "id").orderBy("rank"), groups
+        return r.join(F.broadcast(ranked), "id").orderBy("rank"), groups  # at most k rows
 
     def search(self, query: str, history: list[str] | None = None, mode: str = "hybrid", k: int | None = None, **limits) -> Response:
-        """Rewrite, retrieve, gate; retry up to max_retries with the original query; then the answer. Errors are raised."""
-        began, verdict = time.perf_counter(), "fail"
+        """Rewrite, retrieve, gate; retry up to max_retries while the rewriter gives something new; then the answer. Errors are raised.
+
+        The k hits are fetched once for the gate, the context and the result.
+        """
+        began, verdict, tried = time.perf_counter(), "fail", set()
         asked = (history or [])[-self.settings.history :]
         for attempt in range(self.settings.max_retries + 1):
             rewritten = self.providers.rewrite(query, asked)
-            hits, groups = self.retrieve(rewritten, mode, k, **limits)
+            if rewritten in tried:  # the same query has the same hits
+                attempt -= 1
+                break
+            tried.add(rewritten)
+            found, groups = self.retrieve(rewritten, mode, k, **limits)
+            hits = found.sparkSession.createDataFrame(found.collect(), found.schema)  # at most 50 rows
             verdict = search.gate(hits, self.settings.relevance_threshold).first().verdict
             if verdict == "pass":
                 break
-        answer = self.providers.answer(query, search.context_blocks(hits).first().context) if verdict == "pass" else NOTHING
-        return Response(query, rewritten, hits, groups, verdict if verdict == "pass" else "exhausted", answer, attempt, (time.perf_counter() - began) * 1000)
+        answer = self.providers.answer(query, search.full_context(hits, groups)) if verdict == "pass" else NOTHING
+        return Response(query, rewritten, hits.orderBy("rank"), groups, verdict if verdict == "pass" else "exhausted", answer, attempt, (time.perf_counter() - began) * 1000)
 
     def find_documents(self, query: str, k: int = 10, **limits) -> DataFrame:
         return self.retrieve(query, "summary", k, **limits)[1]
 
+    def query_hint(self, vector: list[float], **limits) -> str | None:
+        """The content of the chunk nearest to a vector."""
+        return search.query_hint(search.cosine_topk(self.records, vector, 1, record_types=["chunk"], **limits)).first().hint
+
+    def tools(self) -> dict[str, Callable[..., str]]:
+        """The tools by name; each returns text, tables as JSON."""
+        return {
+            "semantic_search": lambda query, **how: self.search(query, **how).answer,
+            "find_documents": lambda description, k=10, **limits: search.group_lines(self.find_documents(description, max(1, min(50, k)), **limits)).first().text or "No document matches this description.",
+            "list_indexed_folders": lambda: search.as_json(self.folders(), "parent_directory").first().json,
+            "get_file_chunks": lambda path: search.as_json(self.file_chunks(path).select(*search.CHUNK_VIEW), *search.CHUNK_VIEW).first().json,
+            "get_indexing_status": lambda: json.dumps({r.name: r.value for r in self.status().collect()}, indent=2),
+        }
+
     def folders(self) -> DataFrame:
         return catalog.folders(self.records)
 
@@ -115,18 +105,42 @@ class Engine:
 
 
 def build_records(files: DataFrame, settings: Settings = Settings(), providers: Providers | None = None, copies: bool = False) -> DataFrame:
-    """Files (metadata and text) to records: chunks, summaries and vectors. Of equal contents one file counts, unless copies."""
+    """Files to records: chunks by the kind of file, summaries and vectors. Of equal contents one file counts, unless copies.
+
+    Content as bytes, as scans give it, goes to the reader of its type; content as text is taken as a document's.
+    """
     p = providers or Providers()
-    chunks = catalog.chunk_records(files if copies else catalog.first_copies(files), settings.chunk_words, settings.chunk_overlap)
-    rows = chunks.unionByName(catalog.summary_records(chunks, p.summarise), allowMissingColumns=True)
-    return catalog.as_records(rows.join(p.embed_rows(rows.select("id", "content"), "id", "content"), "id"))
+    as_bytes = dict(files.dtypes)["content"] == "binary"
+    files = media.expanded(files) if as_bytes else files
+    files = files if copies else catalog.first_copies(files)
+    if as_bytes:
+        chunks = media.routed(files, settings, p)
+    else:
+        chunks = catalog.structured_chunks(files, settings.chunk_words, settings.chunk_overlap)
+    chunks = chunks.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = chunks
+    if settings.summaries:
+        summaries = catalog.summary_records(chunks, p.summarise, p.summary_chars or settings.summary_chars)
+        rows = rows.unionByName(summaries.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")), allowMissingColumns=True)
+    embedded = rows.join(p.embed_rows(rows.select("id", "content"), "id", "content"), "id") if p.embed_rows is not hashed_vectors else rows.withColumn("vector", hashed_vector()("content"))
+    return catalog.as_records(embedded.filter(F.size("vector") > 0))  # records without a vector can't be found
 
 
 def ingest(table: catalog.Catalog, files: DataFrame, settings: Settings = Settings(), providers: Providers | None = None) -> int:
-    """Adds the files whose content the table hasn't, in place of their paths' old records. Returns the number of new records."""
-    old = table.records()
-    new = build_records(catalog.needs_reindex(files, old), settings, providers)
-    n = new.count()
-    if n:
-        table.replace(catalog.replaced_on_change(old, new))
-    return n
+    """Adds the files whose content the table hasn't, in place of their paths' old records. Returns the number of new records.
+
+    The new records are worked out once, as they are written; work and files follow the change, not the table.
+    """
+    files = media.expanded(files) if dict(files.dtypes)["content"] == "binary" else files
+    new = catalog.needs_reindex(files, table.records())
+    if new.isEmpty():
+        return 0
+    return table.replace_paths(catalog.first_copies(new), build_records(new, settings, providers))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL: chunk_text(text, size, overlap), parse_subtitles(text, kind), clip_windows(duration, length, overlap)."""
+    from siltstone.functions import tables
+
+    for name in ("chunk_text", "parse_subtitles", "clip_windows"):
+        spark.udtf.register(name, getattr(tables, name))

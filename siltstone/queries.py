@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import folds
 from siltstone.functions import text as tx
-from siltstone.operators import catalog, search
+from siltstone.operators import catalog, media, search
 from siltstone.plans import engine
+from siltstone.plans.providers import Providers
+from siltstone.schema import EXTENSIONS, MIME, Settings
+from siltstone.ship import spread
+from siltstone.sources import files as source
 
 QUERY = "the heention les"
 FOLDER = "/corpus/src1"
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -32,11 +39,14 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
     rows = chunks.unionByName(catalog.summary_records(chunks), allowMissingColumns=True)
     # as in use: the records are a stored table that every list of a query reads
-    return catalog.written(rows.join(tx.hashed_vectors(rows.select("id", "content"), "id", "content"), "id"))
+    return catalog.written(rows.withColumn("vector", tx.hashed_vector()("content")))
+
+
+_ENDINGS = [".TXT", ".TAR.GZ", "", ".unknown9", *sorted(EXTENSIONS)]
 
 
 def classify_files(spark, d):
-    ext = F.element_at(F.array(*(F.lit(x) for x in (".TXT", ".tar.gz", ".JPG", ".srt", "", ".ass", ".gz", ".unknown9", ".md"))), (F.col("doc_id") % 9 + 1).cast("int"))
+    ext = F.element_at(F.array(*(F.lit(x) for x in _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
     name = F.concat(F.lit("/c/"), F.when(F.col("doc_id") % 11 == 0, F.lit(".bashrc")).otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string"), ext)))
     rows = _t(spark, d, "documents").select("doc_id", name.alias("p"))
     pages = _t(spark, d, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.concat(F.lit("/p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("p"))
@@ -136,15 +146,15 @@ def tokenize_terms(spark, d):
 
 
 def bm25_topk(spark, d):
-    return search.bm25_topk(_chunks(spark, d), QUERY, 20).select("id", "score", "rank")
+    return search.bm25_ranked(_chunks(spark, d), QUERY, 20)
 
 
 def bm25_topk_folder(spark, d):
-    return search.bm25_topk(_chunks(spark, d), QUERY, 20, folder=FOLDER).select("id", "score", "rank")
+    return search.bm25_ranked(_chunks(spark, d), QUERY, 20, folder=FOLDER)
 
 
 def conjunctive_match(spark, d):
-    return search.bm25_topk(_chunks(spark, d), "the of and", 20, conjunctive=True).select("id", "score", "rank")
+    return search.bm25_ranked(_chunks(spark, d), "the of and", 20, conjunctive=True)
 
 
 def _vector(spark, d) -> list[float]:
@@ -179,7 +189,7 @@ def _lists(spark, d):
 
 def rrf_fuse(spark, d):
     r, v = _lists(spark, d)
-    out = search.fused([search.cosine_topk(r, v, 50), search.bm25_topk(r, QUERY, 100)])
+    out = search.fused([search.cosine_topk(r, v, 50), search.bm25_ranked(r, QUERY, 100)])
     return out.select("id", "rrf", "score", "first_list", "first_rank")
 
 
@@ -241,11 +251,14 @@ def engine_search(spark, d):
     return engine.Engine(_records(spark, d)).search(QUERY).results.select("id", "score", "rank")
 
 
+def _shared(spark) -> str:
+    return f"{catalog.shared_root(spark)}/query-{uuid.uuid4().hex}"
+
+
 def stream_ingest(spark, d):
     from siltstone.streaming.ingest import file_stream, into_catalog
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-")
-    root = f"{root.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(d)):x}-{F.rand()._jc.hashCode() & 0xFFFFFF:x}"
+    root = _shared(spark)
     table = catalog.Catalog(spark, f"{root}/table")
     stream = file_stream(spark, d, _t(spark, d, "documents").schema, "documents.parquet")
     q = into_catalog(stream, table, f"{root}/state")
@@ -255,11 +268,189 @@ def stream_ingest(spark, d):
     return table.records().groupBy("record_type").agg(F.count("*").alias("n"), F.count_distinct("absolute_path").alias("files"))
 
 
+def ingest_chunks(spark, d):
+    """What ingestion makes of documents: chunks along their structure."""
+    return catalog.structured_chunks(_files(spark, d)).select("id", "chunk_index", "total_chunks", "content")
+
+
+def _bytes(rows: DataFrame) -> DataFrame:
+    """Files as scans give them, of (absolute_path, content as bytes)."""
+    return source.described(rows.select("absolute_path", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("file_modified_at"), F.length("content").cast("long").alias("size"), "content"))
+
+
+def route_by_type(spark, d):
+    """Texts, subtitles, images and unknown files through one router."""
+    text = _t(spark, d, "documents").filter("doc_id % 5 = 0").select(F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("absolute_path"), F.col("text").cast("binary").alias("content"))
+    srt = _srt(spark, d).select(F.concat(F.lit("/s/"), F.col("conv_id").cast("string"), F.lit(".srt")).alias("absolute_path"), F.col("srt").cast("binary").alias("content"))
+    word = lambda c: F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 8, "0"))
+    head = F.unhex(F.lit("89504E470D0A1A0A0000000D49484452"))
+    png = _t(spark, d, "part").filter("p_partkey <= 100").select(F.concat(F.lit("/i/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("absolute_path"), F.concat(head, word("p_size"), word("p_partkey")).alias("content"))
+    other = _t(spark, d, "part").filter("p_partkey <= 9").select(F.concat(F.lit("/x/"), F.col("p_partkey").cast("string"), F.lit(".bin")).alias("absolute_path"), F.encode(F.lit("?"), "UTF-8").alias("content"))
+    rows = media.routed(media.expanded(_bytes(text.unionByName(srt).unionByName(png).unionByName(other))))
+    return rows.select("id", "file_type", "chunk_index", "total_chunks", "content", F.round("timestamp_start", 3).alias("timestamp_start"))
+
+
+def _videos(spark, d) -> DataFrame:
+    name = F.concat(F.lit("/v/"), F.col("p_partkey").cast("string"), F.lit(".mp4"))
+    return _bytes(_t(spark, d, "part").filter("p_partkey <= 200").select(name.alias("absolute_path"), F.encode(F.concat_ws(" ", F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), "p_name"), "UTF-8").alias("content")))
+
+
+def _probed(name: str, content: bytes) -> dict:
+    key, size = content.decode().split(" ")[:2]
+    return {"duration": int(size) * 3.5, "frames": int(size) * 10, "fps": float(int(key) % 31)}
+
+
+def _said(name: str, content: bytes) -> list:
+    return [(k * 2.0, k * 2.0 + 1.5, f" {w} ") for k, w in enumerate(content.decode().split(" ")[2:])]
+
+
+def video_clips(spark, d):
+    rows = media.video_records(_videos(spark, d), Settings(video_mode="cloud"), probe=_probed)[0]
+    return rows.select("id", "content", "chunk_index", "total_chunks", "timestamp_start", "timestamp_end", "mime_type")
+
+
+def video_local(spark, d):
+    """Transcripts and frames of videos, by stand-ins for the decoder and the recogniser."""
+    said, frames = media.video_records(_videos(spark, d), transcribe=_said, probe=_probed)
+    rows = said.unionByName(frames, allowMissingColumns=True)
+    return rows.select("id", "content", "file_type", "mime_type", F.round("timestamp_start", 6).alias("timestamp_start"), "metadata_json")
+
+
+def audio_segments(spark, d):
+    files = _videos(spark, d).withColumns({"absolute_path": F.replace("absolute_path", F.lit(".mp4"), F.lit(".mp3")), "file_type": F.lit("audio")})
+    return media.audio_records(files, _said).select("id", "content", "chunk_index", "total_chunks", "timestamp_start", "timestamp_end")
+
+
+def archive_members(spark, d):
+    """Members of zip files; a member that would leave its folder is left out."""
+
+    def zipped(batches):
+        for pdf in batches:
+            out = []
+            for text in pdf.content:
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr("in/a.txt", text)
+                    z.writestr("../b.txt", "no")
+                out.append(held.getvalue())
+            pdf["content"] = out
+            yield pdf
+
+    rows = _t(spark, d, "documents").filter("doc_id % 10 = 3").select(F.concat(F.lit("/z/"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("absolute_path"), F.col("text").alias("content"))
+    return source.unpacked(_bytes(rows.mapInPandas(zipped, "absolute_path string, content binary"))).select("absolute_path", "filename", "file_type", "file_hash")
+
+
+def records_by_hash(spark, d):
+    one = _files(spark, d).agg(F.min("file_hash")).first()[0]
+    return catalog.chunk_records(_files(spark, d).filter(F.col("file_hash") == one)).select("id", "chunk_index", "file_hash")
+
+
+def preview_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", source.preview("text", 3).alias("preview"))
+
+
+def scan_counts(spark, d):
+    """Files and bytes by type, as a scan reports them."""
+    names = classify_files(spark, d).select("file_type", F.length("filename").cast("long").alias("size"))
+    return source.by_type(names)
+
+
+def vtt_parse(spark, d):
+    """WebVTT cues with and without hours."""
+    begin = F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.lit("00:"))
+    code = lambda s: F.concat(begin, F.format_string("%02d:%02d.%03d", (s / 60).cast("int"), (s % 60).cast("int"), F.lit(250)))
+    cue = F.concat(F.lit("WEBVTT\n\n"), code(F.col("turn") * 10), F.lit(" --> "), code(F.col("turn") * 10 + 9), F.lit("\nhello "), F.col("role"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.inline(tx.subtitle_cues(cue, "vtt"))).select("conv_id", "turn", F.col("start").alias("cue_start"), F.col("end").alias("cue_end"), "text")
+
+
+def vector_parse(spark, d):
+    text = F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 3)))
+    return _t(spark, d, "embeddings").select("vec_id", F.posexplode(search.parsed_vector(text)).alias("i", "x"))
+
+
+def bm25_postings(spark, d):
+    """bm25_topk from a stored index of terms."""
+    return search.Postings.build(_chunks(spark, d), f"{_shared(spark)}/postings").top(QUERY, 20)
+
+
+def cover_density(spark, d):
+    return search.cover_topk(_chunks(spark, d), "the of", 20).select("id", "score", "rank")
+
+
+def bm25_stemmed(spark, d):
+    return search.bm25_ranked(_chunks(spark, d), QUERY, 20, stem=True)
+
+
+def summary_search(spark, d):
+    r, v = _lists(spark, d)
+    hits, groups = search.summary_search(r, v, 10)
+    return hits.select("id", "score", "rank")
+
+
+def chunk_search(spark, d):
+    r, v = _lists(spark, d)
+    return search.cosine_topk(r, v, 10, record_types=["chunk"]).select("id", "score", "rank")
+
+
+def query_hint(spark, d):
+    r, v = _lists(spark, d)
+    return search.query_hint(search.cosine_topk(r, v, 5, record_types=["chunk"]))
+
+
+def result_cards(spark, d):
+    r, v = _lists(spark, d)
+    hits = search.hybrid(r, QUERY, v).select("id", "score", "rank")
+    return search.result_cards(r.join(F.broadcast(hits), "id"))  # ten rows
+
+
+def folders_json(spark, d):
+    return search.as_json(catalog.folders(_files(spark, d)), "parent_directory")
+
+
+def chunks_json(spark, d):
+    return search.as_json(file_chunks(spark, d), "chunk_index", "total_chunks", "content")
+
+
+def document_lines(spark, d):
+    """The text of the tool that finds documents."""
+    r, v = _lists(spark, d)
+    return search.group_lines(search.summary_search(r, v, 10)[1])
+
+
+def catalog_changes(spark, d):
+    """Appends, upserts, replacements and deletions in the stored table, one after another."""
+    root = _shared(spark)
+    table = catalog.Catalog(spark, f"{root}/table")
+    chunks = catalog.written(_chunks(spark, d))
+    of = F.regexp_extract("filename", r"^(\d+)", 1).cast("long")
+    table.append(chunks.filter(of % 2 == 0))
+    table.upsert(chunks.filter(of % 4 < 2).withColumn("summary", F.lit("new")))
+    changed = chunks.filter(of % 6 == 0)
+    table.replace_paths(changed.select("absolute_path"), changed.filter("chunk_index = 0").withColumn("summary", F.lit("short")))
+    table.delete_by_folder(FOLDER)
+    return table.records().select("id", "summary")
+
+
+def udtf_chunks(spark, d):
+    """chunk_text() in SQL."""
+    engine.register_functions(spark)
+    _t(spark, d, "documents").filter("doc_id % 7 = 0").createOrReplaceTempView("siltstone_udtf_documents")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.content FROM siltstone_udtf_documents, LATERAL chunk_text(text, 500, 0.15) AS c")
+
+
+def udtf_clips(spark, d):
+    """clip_windows() in SQL."""
+    engine.register_functions(spark)
+    _t(spark, d, "part").createOrReplaceTempView("siltstone_udtf_part")
+    return spark.sql("SELECT p_partkey, c.clip_start, c.clip_end FROM siltstone_udtf_part, LATERAL clip_windows(CAST(p_size * 3.5 AS DOUBLE), 20, 10) AS c")
+
+
 QUERIES = {f.__name__: f for f in (
     hybrid_search, classify_files, hash_and_dedup, needs_reindex, replace_on_change, upsert_latest, upsert_by_id, delete_by_path, delete_by_folder, list_folders, catalog_stats, file_chunks,
     chunk_plaintext, chunk_markdown, clip_windows, frame_schedule, subtitle_parse, subtitle_windows, representative_text, summary_records, tokenize_terms, bm25_topk, bm25_topk_folder,
     conjunctive_match, cosine_topk, cosine_topk_filtered, normalize_vectors, hashed_embedding, rrf_fuse, file_groups, relevance_gate, context_blocks, rerank_overlap, recent_history,
-    debounce_events, progress_rollup, html_to_text, ann_lsh, engine_search, stream_ingest,
+    debounce_events, progress_rollup, html_to_text, ann_lsh, engine_search, stream_ingest, ingest_chunks, route_by_type, video_clips, video_local, audio_segments, archive_members, records_by_hash, preview_text,
+    scan_counts, vtt_parse, vector_parse, bm25_postings, cover_density, bm25_stemmed, summary_search, chunk_search, query_hint, result_cards, folders_json, chunks_json, document_lines, catalog_changes, udtf_chunks, udtf_clips,
 )}
 
 _FILES = """files AS (SELECT '/corpus/' || source || '/' || lang || '/' || doc_id || '.txt' AS absolute_path, doc_id || '.txt' AS filename, '/corpus/' || source || '/' || lang AS parent_directory,
@@ -314,12 +505,10 @@ hybrid AS (SELECT id, p.s AS score, rrf, CAST(row_number() OVER (ORDER BY rrf DE
 SQL = {
     "hybrid_search": f"WITH {_HYBRID} SELECT id, score, rrf, rank FROM hybrid",
     "engine_search": f"WITH {_HYBRID.replace(chr(39) + 'the' + chr(39) + ', ' + chr(39) + 'heention', chr(39) + 'heention').replace(_bm25('records', _THREE, 100, 'lexical'), _bm25('records', ['heention', 'les'], 100, 'lexical'))} SELECT id, score, rank FROM hybrid",
-    "classify_files": """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '.bashrc' ELSE 'f' || doc_id || ['.TXT', '.tar.gz', '.JPG', '.srt', '', '.ass', '.gz', '.unknown9', '.md'][doc_id % 9 + 1] END AS filename FROM documents
-        UNION ALL SELECT -page_id - 1, page_id || '.html' FROM pages)
-        SELECT doc_id, filename, CASE WHEN filename = '.bashrc' THEN 'unknown' WHEN filename LIKE '%.TXT' OR filename LIKE '%.md' OR filename LIKE '%.html' THEN 'document' WHEN filename LIKE '%.gz' THEN 'archive' WHEN filename LIKE '%.JPG' THEN 'image'
-        WHEN filename LIKE '%.srt' OR filename LIKE '%.ass' THEN 'subtitle' ELSE 'unknown' END AS file_type,
-        CASE WHEN filename LIKE '%.TXT' THEN 'text/plain' WHEN filename LIKE '%.md' THEN 'text/markdown' WHEN filename LIKE '%.html' THEN 'text/html' WHEN filename LIKE '%.JPG' THEN 'image/jpeg' WHEN filename LIKE '%.srt' THEN 'application/x-subrip'
-        ELSE 'application/octet-stream' END AS mime_type, filename LIKE '.%' AS hidden FROM f""",
+    "classify_files": f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '.bashrc' ELSE 'f' || doc_id || {_ENDINGS}[doc_id % {len(_ENDINGS)} + 1] END AS filename FROM documents
+        UNION ALL SELECT -page_id - 1, page_id || '.html' FROM pages), s AS (SELECT *, lower(regexp_extract(filename, '[^.](\\.[^.]+)$', 1)) AS e FROM f),
+        kinds AS (SELECT unnest({list(EXTENSIONS)}) AS e, unnest({list(EXTENSIONS.values())}) AS kind), mimes AS (SELECT unnest({list(MIME)}) AS e, unnest({list(MIME.values())}) AS mime)
+        SELECT doc_id, filename, coalesce(kind, 'unknown') AS file_type, coalesce(mime, 'application/octet-stream') AS mime_type, filename LIKE '.%' AS hidden FROM s LEFT JOIN kinds USING (e) LEFT JOIN mimes USING (e)""",
     "hash_and_dedup": f"WITH {_FILES} SELECT min(absolute_path) AS absolute_path, file_hash FROM files GROUP BY file_hash",
     "needs_reindex": f"WITH {_FILES} SELECT absolute_path, file_hash FROM files WHERE file_hash NOT IN (SELECT file_hash FROM files WHERE doc_id % 2 = 0)",
     "replace_on_change": f"WITH {_FILES} SELECT absolute_path, CASE WHEN doc_id % 4 = 0 THEN sha256(content || ' changed') ELSE file_hash END AS file_hash FROM files WHERE doc_id % 2 = 0",
@@ -372,3 +561,61 @@ SQL |= {
     "context_blocks": f"""WITH {_HYBRID.replace('LIMIT 10)', 'LIMIT 5)').replace('ORDER BY rank LIMIT 100)', 'ORDER BY rank LIMIT 100)').replace('LIMIT 50)', 'LIMIT 25)')}
         SELECT string_agg('[' || h.rank || '] ' || CASE WHEN record_type = 'summary' THEN 'Summary' ELSE 'Excerpt' END || ' of ' || filename || chr(10) || content, chr(10) || chr(10) ORDER BY h.rank) AS context FROM hybrid h JOIN records USING (id)""",
 }
+
+_SENTENCES = r"""md AS (SELECT absolute_path, p, len(list_filter(string_split_regex(p, '\s+'), lambda x: x <> '')) AS n FROM (SELECT absolute_path, regexp_replace(content, '^\s+|\s+$', '', 'g') AS p FROM files) WHERE p <> ''),
+sl AS (SELECT absolute_path, list_filter(list_transform(string_split_regex(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM md WHERE n > 500),
+sp AS (SELECT absolute_path, s, len(s) AS n, list_transform(range(len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')))), 0)) AS c FROM sl),
+packs AS (
+    SELECT absolute_path, 0 AS k, 0::BIGINT AS b, coalesce(nullif(list_position(list_transform(range(1, n), lambda i: c[i + 2] > 500), true), 0), n) AS e FROM sp
+    UNION ALL
+    SELECT absolute_path, k + 1, b2, coalesce(nullif(list_position(list_transform(range(e + 1, n), lambda i: c[i + 2] - c[b2 + 1] > 500), true), 0) + e, n)
+    FROM (SELECT packs.absolute_path, k, e, n, c, e - greatest(1, (e - b) * 15 // 100) AS b2 FROM packs JOIN sp USING (absolute_path) WHERE e < n)
+),
+md_chunks AS (SELECT absolute_path, 0 AS chunk_index, p AS content FROM md WHERE n <= 500 UNION ALL SELECT absolute_path, k, array_to_string(s[b + 1:e], ' ') FROM packs JOIN sp USING (absolute_path)),
+md_records AS (SELECT absolute_path || '#' || chunk_index AS id, absolute_path, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY absolute_path) AS INTEGER) AS total_chunks, content FROM md_chunks)"""
+_WINDOWS = r"""cues AS (SELECT conv_id, turn * 10 + 0.25::DOUBLE AS s, turn * 10 + 9.25::DOUBLE AS e, trim(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '-->', '')) AS text FROM conversations WHERE trim(text) <> ''),
+cl AS (SELECT conv_id, count(*) AS n, list(s ORDER BY s, e, text) AS s, list(e ORDER BY s, e, text) AS e, list(text ORDER BY s, e, text) AS t FROM cues WHERE text <> '' GROUP BY 1),
+wins AS (
+    SELECT conv_id, 0 AS k, 0::BIGINT AS b, coalesce(nullif(list_position(list_transform(range(1, n), lambda i: s[i + 1] > s[1] + 30), true), 0), n) AS z FROM cl
+    UNION ALL
+    SELECT conv_id, k + 1, b2, coalesce(nullif(list_position(list_transform(range(z + 1, n), lambda i: s[i + 1] > s[b2 + 1] + 30), true), 0) + z, n)
+    FROM (SELECT wins.conv_id, k, z, n, s, coalesce(nullif(list_position(list_transform(range(b, z), lambda i: s[i + 1] >= s[b + 1] + 25), true), 0) + b - 1, z) AS b2 FROM wins JOIN cl USING (conv_id) WHERE z < n)
+),
+subs AS (SELECT conv_id, CAST(k AS INTEGER) AS chunk_index, s[b + 1] AS timestamp_start, e[z] AS timestamp_end, array_to_string(t[b + 1:z], ' ') AS content FROM wins JOIN cl USING (conv_id))"""
+_PROBED = "v AS (SELECT p_partkey, p_size, p_name, CASE WHEN p_size > 0 THEN CAST(p_size * 3.5 AS DOUBLE) ELSE 300.0::DOUBLE END AS d, CASE WHEN p_partkey % 31 > 0 THEN CAST(p_partkey % 31 AS DOUBLE) ELSE 25.0::DOUBLE END AS r FROM part WHERE p_partkey <= 200)"
+_SAID = "said AS (SELECT p_partkey, unnest(w) AS w, unnest(range(len(w))) AS k, len(w) AS n FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM v))"
+SQL |= {
+    "chunk_markdown": f"WITH RECURSIVE {_FILES}, {_SENTENCES} SELECT absolute_path, chunk_index, content FROM md_records",
+    "ingest_chunks": f"WITH RECURSIVE {_FILES}, {_SENTENCES} SELECT id, chunk_index, total_chunks, content FROM md_records",
+    "udtf_chunks": f"WITH RECURSIVE {_FILES}, {_SENTENCES} SELECT doc_id, chunk_index, md_records.content FROM md_records JOIN files USING (absolute_path) WHERE doc_id % 7 = 0",
+    "subtitle_windows": f"WITH RECURSIVE {_WINDOWS} SELECT * FROM subs",
+    "route_by_type": f"""WITH RECURSIVE files AS (SELECT '/m/' || doc_id || '.md' AS absolute_path, text AS content FROM documents WHERE doc_id % 5 = 0), {_SENTENCES}, {_WINDOWS}
+        SELECT id, 'document' AS file_type, chunk_index, total_chunks, content, NULL::DOUBLE AS timestamp_start FROM md_records
+        UNION ALL SELECT '/s/' || conv_id || '.srt#' || chunk_index, 'subtitle', chunk_index, CAST(count(*) OVER (PARTITION BY conv_id) AS INTEGER), content, round(timestamp_start, 3) FROM subs
+        UNION ALL SELECT '/i/' || p_partkey || '.png#0', 'image', 0, 1, 'Image file: ' || p_partkey || '.png (width: ' || p_size || ', height: ' || p_partkey || ', format: PNG)', NULL FROM part WHERE p_partkey <= 100""",
+    "video_clips": f"""WITH {_PROBED}, c AS (SELECT p_partkey, d, unnest(range(CAST(greatest(ceil((d - 1) / 10), 1) AS INTEGER))) AS i, CAST(greatest(ceil((d - 1) / 10), 1) AS INTEGER) AS n FROM v), w AS (SELECT *, CAST(i * 10 AS DOUBLE) AS a, least(d, i * 10.0 + 20) AS b FROM c)
+        SELECT '/v/' || p_partkey || '.mp4#c' || i AS id, printf('[Video Segment] %d.mp4 from %.1fs to %.1fs', p_partkey, a, b) AS content, CAST(i AS INTEGER) AS chunk_index, n AS total_chunks, a AS timestamp_start, b AS timestamp_end, 'video/mp4' AS mime_type FROM w""",
+    "video_local": f"""WITH {_PROBED}, {_SAID}, f AS (SELECT p_partkey, r, unnest(range(0, p_size * 10, CAST(r AS BIGINT))) AS f, unnest(range(len(range(0, p_size * 10, CAST(r AS BIGINT))))) AS i FROM v)
+        SELECT '/v/' || p_partkey || '.mp4#a' || k AS id, '[Audio Transcript] ' || w AS content, 'video' AS file_type, 'video/mp4' AS mime_type, k * 2.0::DOUBLE AS timestamp_start, NULL AS metadata_json FROM said
+        UNION ALL SELECT '/v/' || p_partkey || '.mp4#f' || i, printf('[Visual Frame] Video: %d.mp4 at %.2fs', p_partkey, f / r), 'video', 'image/jpeg', round(f / r, 6), '{{"frame":' || f || '}}' FROM f""",
+    "audio_segments": f"""WITH {_PROBED}, {_SAID} SELECT '/v/' || p_partkey || '.mp3#' || k AS id, w AS content, CAST(k AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS total_chunks, k * 2.0::DOUBLE AS timestamp_start, k * 2.0::DOUBLE + 1.5::DOUBLE AS timestamp_end FROM said""",
+    "archive_members": "SELECT '/z/' || doc_id || '.zip/in/a.txt' AS absolute_path, 'a.txt' AS filename, 'document' AS file_type, sha256(text) AS file_hash FROM documents WHERE doc_id % 10 = 3",
+    "records_by_hash": f"WITH {_CHUNKS} SELECT id, chunk_index, file_hash FROM chunks WHERE file_hash = (SELECT min(file_hash) FROM files)",
+    "preview_text": r"SELECT doc_id, CASE WHEN len(l) > 3 THEN array_to_string(l[1:3], chr(10)) || chr(10) || '… (truncated)' ELSE text END AS preview FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)",
+    "scan_counts": f"SELECT file_type, count(*) AS files, CAST(sum(length(filename)) AS BIGINT) AS bytes FROM ({SQL['classify_files']}) GROUP BY 1",
+    "vtt_parse": "SELECT conv_id, turn, turn * 10 + 0.25::DOUBLE AS cue_start, turn * 10 + 9.25::DOUBLE AS cue_end, 'hello ' || role AS text FROM conversations",
+    "vector_parse": "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, unnest(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 3) + 0.0)) AS x FROM embeddings",
+    "bm25_postings": SQL["bm25_topk"],
+    "summary_search": f"WITH {_RECORDS} SELECT id, score, CAST(rank AS INTEGER) AS rank FROM summary_list",
+    "chunk_search": f"WITH {_RECORDS} SELECT id, score, CAST(rank AS INTEGER) AS rank FROM chunk_list WHERE rank <= 10",
+    "query_hint": f"WITH {_RECORDS} SELECT content AS hint FROM chunk_list WHERE rank = 1",
+    "result_cards": f"WITH {_HYBRID} SELECT h.rank, CAST(floor(round(h.score * 100, 6)) AS INTEGER) AS percent, filename, absolute_path, content FROM hybrid h JOIN records USING (id)",
+    "folders_json": f"WITH {_FILES} SELECT CAST(to_json(list(DISTINCT parent_directory ORDER BY parent_directory)) AS VARCHAR) AS json FROM files",
+    "chunks_json": f"WITH c AS ({SQL['file_chunks']}) SELECT CAST(to_json(list({{'chunk_index': chunk_index, 'total_chunks': total_chunks, 'content': content}} ORDER BY chunk_index)) AS VARCHAR) AS json FROM c",
+    "document_lines": f"""WITH {_RECORDS} SELECT string_agg(printf('- %s (score %.2f)', filename, score) || chr(10) || '  ' || absolute_path || chr(10) || '  ' || summary, chr(10) ORDER BY rank) AS text FROM summary_list""",
+    "catalog_changes": f"""WITH {_CHUNKS}, o AS (SELECT *, CAST(regexp_extract(filename, '^(\\d+)', 1) AS BIGINT) AS n FROM chunks)
+        SELECT id, CASE WHEN n % 6 = 0 THEN 'short' WHEN n % 4 < 2 THEN 'new' ELSE '' END AS summary FROM o WHERE (n % 2 = 0 OR n % 4 < 2) AND (n % 6 <> 0 OR chunk_index = 0) AND NOT (parent_directory = '{FOLDER}' OR starts_with(parent_directory, '{FOLDER}/'))""",
+    "udtf_clips": SQL["clip_windows"],
+    "stream_ingest": f"""WITH RECURSIVE {_FILES.replace('FROM documents)', 'FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source, lang, CAST(doc_id AS VARCHAR)) AS first FROM documents) WHERE first = 1)')}, {_SENTENCES}
+        SELECT 'chunk' AS record_type, count(*) AS n, count(DISTINCT absolute_path) AS files FROM md_records UNION ALL SELECT 'summary', count(*), count(*) FROM md_records WHERE chunk_index = 0""",
+}

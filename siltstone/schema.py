@@ -22,18 +22,20 @@ DEFAULTS = {"record_type": "chunk", "chunk_index": 0, "total_chunks": 1, "metada
 
 _BY_TYPE = {
     "document": "pdf docx doc pptx ppt xlsx xls html htm epub txt md csv json xml rtf rst",
-    "image": "png jpg jpeg gif bmp tiff tif webp heic heif svg",
-    "audio": "mp3 wav flac aac ogg wma m4a opus",
+    "image": "png jpg jpeg gif bmp tiff tif webp svg ico",
+    "audio": "mp3 wav flac aac ogg wma m4a",
     "video": "mp4 avi mkv mov wmv flv webm m4v",
     "subtitle": "srt vtt ass ssa",
-    "archive": "zip rar 7z tar gz tar.gz",
+    "archive": "zip rar 7z tar gz bz2 xz",
 }
 EXTENSIONS = {f".{e}": kind for kind, names in _BY_TYPE.items() for e in names.split()}
-MIME = {
-    ".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv", ".json": "application/json", ".xml": "text/xml", ".html": "text/html", ".htm": "text/html",
-    ".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".mp3": "audio/mpeg", ".wav": "audio/x-wav",
-    ".mp4": "video/mp4", ".zip": "application/zip", ".tar": "application/x-tar", ".vtt": "text/vtt", ".srt": "application/x-subrip",
-}
+_MIME = """text/plain txt|text/markdown md|text/csv csv|application/json json|text/xml xml|text/html html htm|application/pdf pdf|application/rtf rtf|text/x-rst rst|application/epub+zip epub
+application/msword doc|application/vnd.openxmlformats-officedocument.wordprocessingml.document docx|application/vnd.ms-powerpoint ppt|application/vnd.openxmlformats-officedocument.presentationml.presentation pptx
+application/vnd.ms-excel xls|application/vnd.openxmlformats-officedocument.spreadsheetml.sheet xlsx|image/png png|image/jpeg jpg jpeg|image/gif gif|image/bmp bmp|image/tiff tif tiff|image/webp webp|image/svg+xml svg
+image/vnd.microsoft.icon ico|audio/mpeg mp3|audio/x-wav wav|audio/flac flac|audio/aac aac|audio/ogg ogg|audio/x-ms-wma wma|audio/mp4 m4a|video/mp4 mp4|video/x-msvideo avi|video/x-matroska mkv|video/quicktime mov
+video/x-ms-wmv wmv|video/x-flv flv|video/webm webm|video/x-m4v m4v|application/x-subrip srt|text/vtt vtt|text/x-ssa ass ssa|application/zip zip|application/vnd.rar rar|application/x-7z-compressed 7z
+application/x-tar tar|application/gzip gz|application/x-bzip2 bz2|application/x-xz xz"""
+MIME = {f".{e}": kind for kind, *names in (x.split() for x in _MIME.replace("\n", "|").split("|")) for e in names}
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,10 @@ class Settings:
     max_groups: int = 10
     chunks_per_group: int = 3
     history: int = 4
+    summaries: bool = True
+    summary_chars: int = 4000
+    ocr: bool = True
+    video_mode: str = "local"
 
     def __post_init__(self) -> None:
         for ok, what in (
@@ -63,6 +69,7 @@ class Settings:
             (0 <= self.chunk_overlap < 1, "chunk_overlap must be at least 0 and below 1"),
             (self.clip_overlap < self.clip_seconds, "clip_overlap must be below clip_seconds"),
             (0 <= self.relevance_threshold <= 1, "relevance_threshold must be 0 to 1"),
+            (self.video_mode in ("local", "cloud"), "video_mode must be local or cloud"),
         ):
             if not ok:
                 raise ValueError(what)

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,3 +22,9 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(target)
         sc._siltstone_shipped = True
     return spark
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table in as many partitions as there are cores: a file of one row group is read by one task. Tables of more partitions stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -21,8 +21,10 @@ FILES = "absolute_path string, file_modified_at timestamp, size bigint, content
 def scan(spark: SparkSession, directory: str) -> DataFrame:
     """All files below the directory but those below names that begin with a dot: metadata, hash and bytes.
 
-    The built-in reader leaves out names that begin with an underscore; scan_all() has them too.
+    The built-in reader leaves out names that begin with an underscore; scan_all() has them too. A folder that isn't there has no files.
     """
+    if not os.path.isdir(directory) and "://" not in directory:
+        return described(spark.createDataFrame([], FILES))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     path = F.regexp_replace("path", r"^file:/+", "/")
     rows = raw.select(path.alias("absolute_path"), F.col("modificationTime").alias("file_modified_at"), F.col("length").alias("size"), "content")
@@ -84,6 +86,16 @@ def safe_member(name: str) -> bool:
     return not (flat.startswith(("/", "..")) or os.path.isabs(flat) or (len(flat) > 1 and flat[1] == ":"))
 
 
+def readable_archive(name: str):
+    """Whether unpacked() reads archives of this name."""
+    return F.lower(name).rlike(r"\.(zip|tar|tar\.gz|tgz)$")
+
+
+def by_type(files: DataFrame) -> DataFrame:
+    """file_type, files, bytes: what a scan has found."""
+    return files.groupBy("file_type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 def _members(name: str, content: bytes):
     if name.lower().endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -107,4 +119,4 @@ def unpacked(files: DataFrame) -> DataFrame:
             rows = [(f"{r.absolute_path}/{name}", r.file_modified_at, len(data), data) for r in pdf.itertuples() for name, data in _members(r.absolute_path, bytes(r.content))]
             yield pd.DataFrame(rows, columns=["absolute_path", "file_modified_at", "size", "content"])
 
-    return described(files.filter("file_type = 'archive'").select("absolute_path", "file_modified_at", "content").mapInPandas(run, FILES))
+    return described(files.filter((F.col("file_type") == "archive") | F.lower("filename").endswith(".tgz")).select("absolute_path", "file_modified_at", "content").mapInPandas(run, FILES))
