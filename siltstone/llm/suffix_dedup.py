@@ -26,20 +26,20 @@ from pyspark.sql import DataFrame
 
 from .repeats import MIN_WORDS, cut, keyed, named, repeated, with_positions
 from .substring_dedup import PLACES, _places
-from .text import Prefix, hashes_of, mix, ranges, rows_of, slices, words_of
+from .text import Prefix, distinct, hashes_of, mix, ranges, rows_of, slices, words_of
 
 GRAM = 8
 
 
-def minimisers(words: pa.Array, offsets: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every window start (in the flat words), the flat position of its minimiser, and the hash of each gram."""
-    n, total = np.diff(offsets), len(words)
+def minimisers(hashes: np.ndarray, offsets: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window start (in the flat words, given by their hashes), the flat position of its minimiser, and the hash of each gram."""
+    n, total = np.diff(offsets), len(hashes)
     row = rows_of(offsets)
     pos = np.arange(total) - offsets[row]
     starts = np.flatnonzero(pos + min_words <= n[row])
     if not len(starts):
         return starts, starts, np.zeros(0, np.uint64)
-    prefix = Prefix(hashes_of(words))
+    prefix = Prefix(hashes)
     h = np.full(total, np.uint64(0xFFFFFFFFFFFFFFFF))
     whole = np.arange(total - gram + 1)
     h[: total - gram + 1] = mix(prefix(whole, gram))
@@ -61,7 +61,7 @@ def sampled(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             words, offsets = words_of(batch.column(batch.schema.get_field_index("text")))
-            starts, at, h = minimisers(words, offsets, min_words, gram)
+            starts, at, h = minimisers(hashes_of(words), offsets, min_words, gram)
             first = np.flatnonzero(np.diff(at, prepend=-1) != 0)
             at = at[first]
             row = np.searchsorted(offsets, at, side="right") - 1
@@ -83,7 +83,7 @@ def strips(found: DataFrame, min_words: int, gram: int) -> DataFrame:
             lists = batch.column(batch.schema.get_field_index("at"))
             wanted = np.zeros(len(words) + 1, bool)
             wanted[offsets[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())] + lists.flatten().to_numpy()] = True
-            starts, at, h = minimisers(words, offsets, min_words, gram)
+            starts, at, h = minimisers(hashes_of(words), offsets, min_words, gram)
             if not len(starts):
                 continue
             first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
@@ -166,20 +166,19 @@ class Suffixes:
 def _later(table: pa.Table, min_words: int) -> pa.RecordBatch | None:
     """The places of the table's window starts that aren't the first of their class of equal suffixes."""
     table = table.combine_chunks()
-    text = table.column("words").combine_chunks().dictionary_encode() if table.num_rows else None
-    if text is None:
+    if not table.num_rows:
         return None
+    text = table.column("words").combine_chunks()
     h, ahead, starts, k_id, place = (table.column(c).to_numpy() for c in ("h", "ahead", "starts", "k_id", "at"))
     strip = text.indices.to_numpy().astype(np.int64)
     # a strip is a minimiser, how far it is ahead, and words
-    own, first, strip = np.unique(np.stack([strip, h, ahead]), axis=1, return_index=True, return_inverse=True)
-    strip = strip.reshape(-1)
+    own, first, strip = distinct(strip, h, ahead.astype(np.int64))
     words, offsets = words_of(text.dictionary.take(pa.array(own[0])))
     at, of = ranges(offsets[:-1], offsets[:-1] + starts[first])
     begin = np.cumsum(starts[first]) - starts[first]  # of each strip in at
-    _, bucket = np.unique(np.stack([own[1][of], own[2][of] - (at - offsets[of])]), axis=1, return_inverse=True)
+    _, _, bucket = distinct(own[1][of], own[2][of] - (at - offsets[of]))
     suffixes = Suffixes(hashes_of(words), min_words)
-    bucket, order = suffixes.sort(bucket.reshape(-1), at)
+    bucket, order = suffixes.sort(bucket, at)
     near = np.flatnonzero(bucket[1:] == bucket[:-1])
     near = near[suffixes.common(order[near], order[near + 1]) >= min_words]
     true = np.ones(len(near), bool)
@@ -202,23 +201,41 @@ def _later(table: pa.Table, min_words: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(k_id[at_row]), pa.array(where[keep]), pa.array(h[at_row])], names=["k_id", "at", "h"])
 
 
+def _held(batches: list[pa.RecordBatch]) -> pa.Table:
+    """One table, in which equal strips share their words."""
+    return pa.Table.from_batches(batches).unify_dictionaries().combine_chunks()
+
+
+def _compact(table: pa.Table) -> pa.Table:
+    """The same rows, without the words of strips that aren't in them."""
+    k = table.schema.get_field_index("words")
+    words = table.column(k).combine_chunks()
+    used, index = np.unique(words.indices.to_numpy(), return_inverse=True)
+    return table.set_column(k, "words", pa.DictionaryArray.from_arrays(pa.array(index.astype(np.int32)), words.dictionary.take(pa.array(used))))
+
+
 def sorted_classes(text: DataFrame, min_words: int) -> DataFrame:
-    """The window starts of the strips that repeat an earlier one; strips come sorted by minimiser."""
+    """The window starts of the strips that repeat an earlier one; strips come sorted by minimiser.
+
+    Of a bucket, each distinct strip is held once, and of each place of it a row of numbers.
+    """
 
     def run(batches):
-        held, size = [], 0
+        held, size, limit = [], 0, CHUNK_BYTES
         for batch in slices(batches, "words"):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= CHUNK_BYTES:
-                table = pa.Table.from_batches(held)
+            k = batch.schema.get_field_index("words")
+            held.append(pa.RecordBatch.from_arrays([c.dictionary_encode() if i == k else c for i, c in enumerate(batch.columns)], names=batch.schema.names))
+            size += held[-1].nbytes
+            if size >= limit:
+                table = _held(held)
                 h = table.column("h").to_numpy()
                 whole = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
                 if whole and (out := _later(table.slice(0, whole), min_words)) is not None:
                     yield out
-                rest = table.slice(whole).combine_chunks()
-                held, size = rest.to_batches(), 0 if whole else size - CHUNK_BYTES
-        if held and (out := _later(pa.Table.from_batches(held), min_words)) is not None:
+                held = _compact(table.slice(whole)).to_batches()
+                size = sum(x.nbytes for x in held)
+                limit = max(CHUNK_BYTES, 2 * size)  # a bucket is merged again only when it has doubled
+        if held and (out := _later(_held(held), min_words)) is not None:
             yield out
 
     return text.repartition("h").sortWithinPartitions("h").mapInArrow(run, PLACES)

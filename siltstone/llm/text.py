@@ -6,6 +6,7 @@ the white space behind it. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -101,3 +102,50 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     which = np.repeat(np.arange(len(starts)), n)
     first = np.cumsum(n) - n
     return np.arange(len(which)) - first[which] + starts[which], which
+
+
+def distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct rows of these columns in order, the first place of each, and the number of each row."""
+    order = np.lexsort(columns[::-1])
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for c in columns:
+        fresh[1:] |= c[order[1:]] != c[order[:-1]]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return [c[order[fresh]] for c in columns], order[fresh], number
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, which compress better so."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+class Reader:
+    """Reads what planes() and raw bytes make, one after another, from their compressed whole."""
+
+    def __init__(self, data: bytes, size: int):
+        self.data, self.at = pa.decompress(data, size, "zstd", asbytes=True) if size else b"", 0
+
+    def take(self, n: int, kind: type) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        x = np.frombuffer(self.data, np.uint8, n * size, self.at).reshape(size, n)
+        self.at += n * size
+        return np.ascontiguousarray(x.T).reshape(-1).view(kind)
+
+    def raw(self, n: int) -> bytes:
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+
+def release() -> None:
+    """Gives free memory back to the system: idle Python workers keep what they have."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def compressed(*parts: bytes, level: int = 1) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(b"".join(parts), asbytes=True)
