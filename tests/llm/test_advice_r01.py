@@ -7,14 +7,14 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siltstone.llm import ann, katz, katz_words, queries
+from siltstone.llm import ann, katz_words, queries
 
 
-def brute_words(texts):
+def brute_words(texts, least=katz_words.LEAST):
     """log P of each text over words, order 3, by the formulas, from dictionaries."""
     docs = [t.split() for t in texts]
     c = [Counter(tuple(w[i : i + n]) for w in docs for i in range(len(w) - n + 1)) for n in range(4)]
-    d = katz.discounts({(n, r): k for n in (2, 3) for r, k in Counter(c[n].values()).items()}, 3)
+    d = katz_words.discounts({(n, r): k for n in (2, 3) for r, k in Counter(c[n].values()).items()}, 3)
     total, distinct = sum(c[1].values()), len(c[1])
     follow = {}
     for n in (2, 3):
@@ -25,7 +25,7 @@ def brute_words(texts):
         if not h:
             return (c[1][(w,)] + 1) / (total + distinct + 1)
         rows = follow.get(h, {})
-        kept = {x: r for x, r in rows.items() if r >= katz.least_count(len(h) + 1)}
+        kept = {x: r for x, r in rows.items() if r >= (least if len(h) == 2 else 1)}
         if not kept:
             return p(h[1:], w)
         ch = sum(rows.values())
@@ -48,7 +48,7 @@ def test_op7_scores_word_trigrams_of_all_documents(spark, tmp_path):
     want = dict(zip(rows, brute_words([t or "" for _, t in rows])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    for out in (queries.op7_katz_scoring(spark, str(tmp_path)), katz_words.scored(docs, 300), katz_words.scored(docs, 300, 20)):  # one bucket, many, spread words
+    for out in (queries.op7_katz_scoring(spark, str(tmp_path)), katz_words.scored(docs, 300), katz_words.scored(docs, 300, 20), katz_words.scored(docs, 300, 20, slice_bytes=200, n_frequent=3)):  # one bucket, many, spread words, words spelled out
         out = out.collect()
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((i is None, i or 0) for i, _ in rows)
         for r in out:
@@ -61,6 +61,12 @@ def test_op7_scores_word_trigrams_of_all_documents(spark, tmp_path):
                 assert r.bits_per_byte == pytest.approx(-r.log_prob / r.n_bytes / math.log(2))
 
 
+def test_op7_keeps_trigrams_seen_once_if_told(spark):
+    texts = prose(40, 8)
+    out = katz_words.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 500, least=1).orderBy("doc_id").collect()
+    assert [r.log_prob for r in out] == pytest.approx(brute_words(texts, 1), rel=1e-9)
+
+
 def test_op7_shuffled_words_score_worse(spark):
     r = random.Random(5)
     sentences = [[f"w{r.randint(0, 300)}" for _ in range(12)] for _ in range(60)]

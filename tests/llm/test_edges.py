@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from siltstone.llm import ann, decontaminate, html_extract, katz, mixing, quality_rules, repeats, simhash_vp, substring_dedup, suffix_dedup, toxicity
+from siltstone.llm import ann, decontaminate, html_extract, katz_words, mixing, quality_rules, queries, repeats, simhash_vp, substring_dedup, suffix_dedup, toxicity
 
 CLASH = "k_id string, at int, h long, removed_words string, words int, n int, c0 int, text2 string, shard int, _score double, chunk int, key int"
 DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
@@ -94,6 +95,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_of_any_length_as_in_sql(spark):
+    """Items of one word up, ties, repeated rows and items, null ids and texts, as in the SQL."""
+    common = "the of and the of and the of and the of and the of and"
+    docs = [(1, "x the of and y"), (1, "x the of and y"), (None, "the of and"), (2, None), (3, " "), (4, f"q {common} z {common}"), (5, "lone"), (6, "the of"), (7, "a b c d e f g h i j k l m n o p the a b c d e f g h i j k l m n o p")]
+    items = [(1, "the of and"), (1, "the of and"), (2, "lone"), (3, None), (4, ""), (None, common), (5, "0 a b c d e f g h i j k l m n o p 1"), (5, "of and y")]
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    con = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.sql(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", data)
+    want = sorted(map(str, con.sql(queries.DECONTAMINATION_SQL).fetchall()))
+    assert sorted(str(tuple(r)) for r in out.collect()) == want
+    assert any(eval(x)[:2] == (5, 2) for x in want) and str((7, 5, 16, 0, 1)) in want  # the earliest of two equal places
+    few = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), short_item=8)
+    assert {r.item_id for r in few.collect()} == {None, 5}
+
+
 def test_mixing(docs, empty):
     out = got(mixing.mixed(docs, block=64, shard=8))
     assert {r["source"] for r in out} <= {"s1", "s2", None} and {r["source"] for r in out} >= {"s1", "s2"}
@@ -103,6 +121,20 @@ def test_mixing(docs, empty):
     assert {r["source"] for r in got(mixing.mixed(docs, {"s1": 1, "nothing": 5}, block=64, shard=8))} == {"s1"}
 
 
+def test_mixing_ties_as_in_sql(spark):
+    """Rows given twice, null ids, ids far apart and a null source, as in the SQL."""
+    many = [(1, "a b c " * 300, "s"), (1, "a b c " * 300, "s"), (None, "q w e " * 200, "s"), (None, "z z", "s"), (-5, "neg one", "s"), (1 << 62, "x y " * 900, None), (7, None, "s"), (3, " ", "s"), (-(1 << 62), "u v", "s"), (1, "aa b", "s")]
+    out = sorted(tuple(r) for r in mixing.mixed(spark.createDataFrame(many, "doc_id long, text string, source string")).collect())
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", many)
+    assert out == sorted(con.sql(mixing.SQL).fetchall())
+    first = next(r for r in out if r[2] == "s" and r[4] == 0)
+    assert first[7] is None and first[6] == 2  # the texts without an id come first
+    huge = mixing.mixed(spark.createDataFrame(many, "doc_id long, text string, source string"), {"s": 1 << 40}, block=64)
+    assert huge.count() == len({r.block for r in huge.collect()})
+
+
 def test_toxicity(docs, empty, labels, no_labels):
     out = got(toxicity.toxicity(docs, labels))
     assert len(out) == len(rows())
@@ -121,16 +153,13 @@ def test_quality(docs, empty, labels, no_labels):
 
 
 def test_katz(docs, empty):
-    out = got(katz.scored(docs, katz.train(docs)))
+    out = got(katz_words.scored(docs))
     assert len(out) == len(rows())
-    assert all((r["log_prob"] is None) == (r["n_bytes"] == 0) for r in out)
+    assert all((r["log_prob"] is None) == (r["doc_id"] in (1, 2, 3) or (r["doc_id"] is None and not r["n_bytes"])) for r in out)
     assert sorted(r["n_bytes"] for r in out)[-1] == len(LONG)
     five = [r["log_prob"] for r in out if r["doc_id"] == 5]
-    assert len(five) == 2 and five[0] == five[1]
-    model = katz.train(empty)
-    assert katz.scored(empty, model).count() == 0
-    uniform = {r["doc_id"]: r["bits_per_byte"] for r in got(katz.scored(docs, model))}
-    assert uniform[7] == pytest.approx(8)
+    assert len(five) == 2 and five[0] == pytest.approx(five[1])
+    assert katz_words.scored(empty).count() == 0
 
 
 def test_ann(spark):
@@ -151,9 +180,9 @@ def test_html(spark):
         (3, "http://b.org/", f"<p>other host</p><div>{foot}</div>"), (4, None, f"no url {foot}"), (4, None, f"no url {foot}"), (5, "http://a.org/3", None), (6, "http://a.org/4", ""), (None, "http://c.org", f"<p>{long_}"),
     ]
     t = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS at", "'z' AS text")
-    for limit in (html_extract.LIMIT, 0):  # broadcast and shuffled
+    for size in (html_extract.BUCKET_BYTES, 2000):  # one bucket, many
         out = {}
-        for r in got(html_extract.main_text(t, limit=limit)):
+        for r in got(html_extract.main_text(t, bucket_bytes=size)):
             out.setdefault(r["page_id"], []).append((r["text"], r["removed_words"]))
         assert out[1] == [("first page text", 9)] and out[2] == [("second one", 9)]
         assert out[3] == [(f"other host {foot}", 0)] and out[4] == [(f"no url {foot}", 0)] * 2
@@ -161,6 +190,13 @@ def test_html(spark):
     assert html_extract.main_text(t.limit(0)).count() == 0
 
 
+def test_html_entities_and_open_elements(spark):
+    data = [(1, None, "<p>caf&eacute; &#8217;q&#x2019; a&nbsp;b&#10;c &amp;lt; &bogus; &#x1; R&amp;D</p>"), (2, None, "<script>var open = 1; <p>x"), (3, None, "<div>a<b>c</b")]
+    out = {r["page_id"]: r["text"] for r in got(html_extract.main_text(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert out[1] == "café ’q’ a b c &lt; &bogus; &#x1; R&D"
+    assert out[2] == "var open = 1; x" and out[3] == "a c</b"
+
+
 def test_pipeline_stages_on_edges(spark, docs, empty, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, " ".join(A.split()[:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
