@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import decontaminate, mixing, quality_rules, repeats, simhash_vp
-from siltstone.llm.shared import stored
+from siltstone.llm.shared import dropped, stored
 from siltstone.llm.substring_dedup import substring_dedup
 from siltstone.ship import ship
 
@@ -73,7 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            dropped(before)  # the next stage reads the new table only
     return docs

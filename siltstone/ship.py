@@ -24,7 +24,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small table in as many partitions as there are cores: a file of one row group is read by one task. Tables of more partitions stay as they are."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a small table in as many partitions as there are cores, where less than a quarter of them would have work.
+
+    A file of one row group is read by one task; larger tables stay as they are. With keys the order of the rows is
+    fixed, by these columns.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    if rows.rdd.getNumPartitions() * 4 > cores:
+        return rows
+    return rows.repartition(cores, *keys).sortWithinPartitions(*keys) if keys else rows.repartition(cores)
