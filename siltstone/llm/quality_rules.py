@@ -193,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     )
     # the sample has at most SAMPLE rows of two numbers, so it can be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), "text").join(F.broadcast(chosen), "l_id")
-    numbers = rows.select("l_id", "l_quality", *(c.cast("double").alias(n) for n, c in statistics().items())).toPandas()
-    numbers = numbers.sort_values(["l_id", *NAMES]).head(sample)
+    numbers = rows.select("l_id", "l_quality", *(c.cast("double").alias(n) for n, c in statistics().items()))
+    numbers = numbers.orderBy(F.xxhash64("l_id"), "l_id", *NAMES).limit(sample).toPandas()  # also where many rows share an id
+    numbers = numbers.sort_values(["l_id", *NAMES])
     numbers = numbers[numbers.words > 0]
     mixed = np.random.default_rng(3).permutation(len(numbers))
     return fit(numbers[NAMES].to_numpy(float)[mixed], (numbers.l_quality.to_numpy() > 0).astype(float)[mixed])
