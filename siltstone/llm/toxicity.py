@@ -1,6 +1,6 @@
 """Operator 6: toxicity by a character n-gram linear classifier with naive Bayes log-count ratios.
 
-Features are the n-grams of 3 to 5 bytes of each lower-case word with a space at both ends, hashed to
+Features are the n-grams of 3 to 5 characters of each lower-case word with a space at both ends, hashed to
 BUCKETS. A feature's value in a document is its share of the document's n-grams times the feature's naive
 Bayes log-count ratio, the logarithm of its smoothed frequency in toxic against other documents; over these
 a logistic regression with an L2 penalty is fitted. As the score is linear, a word scores the sum over its
@@ -8,7 +8,7 @@ n-grams, so scoring hashes each distinct word of a batch once, and a document ta
 n-grams: one scan, no shuffle, and a model of BUCKETS floats of fixed size.
 
 Fitted in one task on at most SAMPLE labelled rows (half of them from each class at most; those with the
-least hash of doc_id). A held-out fifth sets the threshold, by F1 at the true share of the classes.
+least hash of doc_id, and then of the text, whatever the number of rows that share an id). A held-out fifth sets the threshold, by F1 at the true share of the classes.
 
 Defined cases: null and blank texts score null and aren't toxic; null labels and ids don't train; of
 several labels of a document the highest counts; with labels of one class only, or none, nothing is
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix, rows_of, slices, words_of
+from .text import BASE, mix, rows_of, slices, words_of
 
 SAMPLE = 4_000
 BUCKETS = 1 << 18
@@ -35,22 +35,22 @@ ORDERS = (3, 4, 5)
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all n-grams of these words, in order of the words, and each word's number of them."""
-    padded = pc.binary_join_element_wise("", pc.utf8_lower(words), "", " ") if len(words) else words
-    data = np.frombuffer(padded.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
-    edges = np.frombuffer(padded.buffers()[1], np.int32)[padded.offset : padded.offset + len(padded) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
-    data = data[edges[0] : edges[-1]].astype(np.uint64)
-    edges = edges - edges[0]
-    word = np.repeat(np.arange(len(words)), np.diff(edges))
-    left = edges[1:][word] - np.arange(len(data))
-    key, which, at = [], [], []
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = pc.binary_join_element_wise("", pc.utf8_lower(words), "", " ")
+    size = pc.utf8_length(padded).to_numpy().astype(np.int64)
+    data = np.frombuffer("".join(padded.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)  # a character each
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.cumsum(size)[word] - np.arange(len(data))
+    key, which = [], []
     rolled = np.zeros(len(data), np.uint64)
     for n in range(1, max(ORDERS) + 1):
-        rolled[: len(data) - n + 1] = (rolled[: len(data) - n + 1] << np.uint64(8)) | data[n - 1 :] if len(data) >= n else 0
+        if len(data) >= n:
+            rolled[: len(data) - n + 1] = rolled[: len(data) - n + 1] * BASE + data[n - 1 :]
         if n in ORDERS:
             fit = np.flatnonzero(left >= n)
             key.append(mix(rolled[fit] + np.uint64(n << 56)) & np.uint64(BUCKETS - 1))
             which.append(word[fit])
-            at.append(np.full(len(fit), n))
     key, which = np.concatenate(key), np.concatenate(which)
     order = np.argsort(which, kind="stable")
     return key[order].astype(np.int64), np.bincount(which, minlength=len(words))
@@ -148,9 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NBModel:
     half = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(sample // 2)
     chosen = half(1).unionByName(half(0))  # at most SAMPLE rows of two numbers, so it can be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "l_id")
+    rows = rows.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("text")).limit(sample)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("l_id", "ascending"), ("text", "ascending")]).slice(0, sample)
+        table = table.sort_by([("l_id", "ascending"), ("text", "ascending")])
         mixed = np.random.default_rng(5).permutation(table.num_rows)
         table = table.take(pa.array(mixed))
         model = fit(table.column("text").combine_chunks(), table.column("y").to_numpy().astype(np.float64), share)
