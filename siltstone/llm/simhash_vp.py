@@ -16,7 +16,8 @@ fingerprints with those of the values within two bits, as blocks: 8 * 137 / 65,5
 looked at.
 
 Near duplicates are closed transitively into groups (large-star, small-star), of which the first document
-by (doc_id, hash of the text) stays.
+by (doc_id, hash of the text) stays. A leaf that holds more than HOME fingerprints on average is split into groups, so a
+shard's memory stays as it is when the data grow; queries go to each group.
 
 Defined cases: documents without words (null, empty or blank text) have no fingerprint and always stay;
 equal fingerprints are collapsed before the search, so thousands of copies cost one search; null doc_id
@@ -36,11 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checkpointed
-from .text import mix, rows_of, slices, words_of
+from .text import mix, ranges, rows_of, slices, words_of
 
 RADIUS = 23
 PARTS = 8
 VALUES = 1 << 16
+HOME = 500_000
 PUNCTUATION = ".,;:!?\"'()[]«»¿¡“”„‘’…–—"  # of sentences; symbols such as # or | make another word
 EXPAND = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 MASKS = np.array(sorted((1 << a) | (1 << b) for a in range(16) for b in range(a)) + [1 << a for a in range(16)] + [0])
@@ -136,50 +138,60 @@ def _halves(batch) -> np.ndarray:
     return np.stack([batch.column("f0").to_numpy(), batch.column("f1").to_numpy()], axis=1).view(np.uint64)
 
 
-def shard_pairs(f: np.ndarray, t: int, leaf: int, tree: Tree, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (row, row, distance) of this shard that no other shard reports."""
+def _group(f: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(f[:, 0] ^ mix(f[:, 1])) % np.uint64(groups)).astype(np.int64)
+
+
+def shard_pairs(f: np.ndarray, t: int, leaf: int, tree: Tree, radius: int, group: int = 0, groups: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (row, row, distance) of this shard, of a query and a fingerprint that lives in the leaf and the group, that no other shard reports."""
     part = _part(f, t)
     order = np.argsort(part, kind="stable")
     f, part = f[order], part[order]
     f0, f1 = np.ascontiguousarray(f[:, 0]), np.ascontiguousarray(f[:, 1])
     first = np.searchsorted(part, np.arange(VALUES + 1))
-    count = np.diff(first)
-    count_here = np.where(tree.home == leaf, count, 0)
+    own = np.flatnonzero((tree.home[part] == leaf) & (_group(f, groups) == group))
+    h0, h1 = f0[own], f1[own]
+    h_first = np.searchsorted(part[own], np.arange(VALUES + 1))
+    h_count = np.diff(h_first)
     left, right, far = [], [], []
-    for v in np.flatnonzero(count):
+    for v in np.flatnonzero(np.diff(first)):
         near = v ^ MASKS
-        near = near[count_here[near] > 0]
+        near = near[h_count[near] > 0]
         if tree.home[v] == leaf:
             near = near[near >= v]  # within the leaf, each pair from its lesser value
         if not len(near):
             continue
-        c = np.concatenate([np.arange(first[u], first[u + 1]) for u in near]) if len(near) < 4 else np.repeat(first[near] - np.cumsum(count[near]) + count[near], count[near]) + np.arange(count[near].sum())
+        c, _ = ranges(h_first[near], h_first[near + 1])
         step = max(1, (1 << 20) // len(c))
         for q0 in range(first[v], first[v + 1], step):
             q = np.arange(q0, min(q0 + step, first[v + 1]))
-            d = np.bitwise_count(f0[q][:, None] ^ f0[c]) + np.bitwise_count(f1[q][:, None] ^ f1[c])
+            d = np.bitwise_count(f0[q][:, None] ^ h0[c]) + np.bitwise_count(f1[q][:, None] ^ h1[c])
             i, j = np.nonzero(d <= radius)
             if len(i):
-                a, b = q[i], c[j]
-                once = (part[a] != part[b]) | (a < b)
+                a, b = q[i], own[c[j]]
+                once = (part[a] != part[b]) | (f0[a] < f0[b]) | ((f0[a] == f0[b]) & (f1[a] < f1[b]))
                 left.append(a[once])
                 right.append(b[once])
                 far.append(d[i, j][once])
     if not left:
         return (np.zeros(0, np.int64),) * 3
     a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-    own = np.ones(len(a), bool)
+    mine = np.ones(len(a), bool)
     for s in range(t):  # an earlier tree saw it
-        own &= np.bitwise_count(_part(f[a], s) ^ _part(f[b], s)) > 2
-    return order[a[own]], order[b[own]], d[own]
+        mine &= np.bitwise_count(_part(f[a], s) ^ _part(f[b], s)) > 2
+    return order[a[mine]], order[b[mine]], d[mine]
 
 
-def pairs(distinct: DataFrame, radius: int = RADIUS, depth: int | None = None) -> DataFrame:
-    """All pairs of these distinct fingerprints (f0, f1) within the radius: a0, a1, b0, b1, distance."""
+def pairs(distinct: DataFrame, radius: int = RADIUS, depth: int | None = None, home: int = HOME) -> DataFrame:
+    """All pairs of these distinct fingerprints (f0, f1) within the radius: a0, a1, b0, b1, distance.
+
+    A leaf of more than ``home`` fingerprints (by the average) is split into groups; queries go to each of them.
+    """
     if radius >= 3 * PARTS:
         raise ValueError("the parts bound the radius to 23")
     if depth is None:  # as many shards as the session has shuffle partitions; any depth gives the same pairs
         depth = min(8, max(3, math.ceil(math.log2(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")) / PARTS))))
+    groups = max(1, math.ceil(distinct.count() / (home << depth)))
 
     def route(batches):
         tree = Tree(depth)
@@ -191,16 +203,18 @@ def pairs(distinct: DataFrame, radius: int = RADIUS, depth: int | None = None) -
                 keep = leaf >= tree.home[part[row]]
                 row, leaf = row[keep], leaf[keep]
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array((t << depth) + leaf.astype(np.int32), pa.int32()), batch.column("f0").take(at), batch.column("f1").take(at)], names=["shard", "f0", "f1"])
+                for g in range(groups):
+                    shard = ((t << depth) + leaf.astype(np.int64)) * groups + g
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("f0").take(at), batch.column("f1").take(at)], names=["shard", "f0", "f1"])
 
     def search(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
+        shard, group = divmod(table.column("shard")[0].as_py(), groups)
         f = np.ascontiguousarray(_halves(table))
-        a, b, d = shard_pairs(f, shard >> depth, shard & ((1 << depth) - 1), Tree(depth), radius)
+        a, b, d = shard_pairs(f, shard >> depth, shard & ((1 << depth) - 1), Tree(depth), radius, group, groups)
         signed = f.view(np.int64)
         return pa.table({"a0": signed[a, 0], "a1": signed[a, 1], "b0": signed[b, 0], "b1": signed[b, 1], "distance": d.astype(np.int32)})
 
-    sent = distinct.select("f0", "f1").mapInArrow(route, "shard int, f0 long, f1 long")
+    sent = distinct.select("f0", "f1").mapInArrow(route, "shard long, f0 long, f1 long")
     return sent.groupBy("shard").applyInArrow(search, "a0 long, a1 long, b0 long, b1 long, distance int")
 
 
@@ -227,7 +241,7 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """k_id, k_text and the group's first document (g_id, g_text) of each document with words."""
     prints = checkpointed(fingerprinted(keyed(docs)))
     node = lambda x: F.struct(F.col(f"{x}0").alias("f0"), F.col(f"{x}1").alias("f1"))
-    found = pairs(prints.select("f0", "f1").distinct(), radius)
+    found = pairs(checkpointed(prints.select("f0", "f1").distinct()), radius)
     roots = components(found.select(node("a").alias("u"), node("b").alias("v"))).select("node.f0", "node.f1", "root")
     named = prints.join(roots, ["f0", "f1"], "left").withColumn("root", F.coalesce("root", F.struct("f0", "f1")))
     least = F.min(F.struct("k_id", "k_text")).over(Window.partitionBy("root"))
