@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.ship import spread
+
 from . import html_extract, katz_words, mixing
 from .ann import neighbours
 from .decontaminate import contaminated
@@ -14,8 +16,13 @@ from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
+#: The columns by which small tables are spread over the cores.
+SPREAD = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, *SPREAD[name]) if name in SPREAD else rows
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,4 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     """As checkpointed(), as a Parquet table: compressed, and columns can be read apart."""
     path = f"{shared_dir(df.sparkSession)}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of stored() that nothing reads any more."""
+    spark, path = table.sparkSession, table.__dict__.get("stored_at")
+    if path:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
