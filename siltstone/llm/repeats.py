@@ -60,9 +60,9 @@ def repeated(occurrences: DataFrame, key: str) -> DataFrame:
 
 
 def later(occurrences: DataFrame, key: str) -> DataFrame:
-    """All occurrences but the first of each key."""
+    """All occurrences but the first of each key, which is ``lo``."""
     w = Window.partitionBy(key)
-    return occurrences.repartition(key).withColumn("lo", F.min(place()).over(w)).filter(place() != F.col("lo")).drop("lo")
+    return occurrences.repartition(key).withColumn("lo", F.min(place()).over(w)).filter(place() != F.col("lo"))
 
 
 def with_positions(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
