@@ -29,7 +29,7 @@ from .text import Prefix, distinct, hashes_of, mix, ranges, rows_of, slices, wor
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 PERIOD = 31
 #: Anchors only choose what is compared, so a few that share these bits cost a little and change nothing.
-FILTER_BITS = 64
+FILTER_BITS = 48
 #: In this order neighbouring rows of one document share their first bytes, which halves the shuffle's size.
 PLACES = "k_id long, at long, h long"
 
@@ -88,16 +88,17 @@ def runs(repeats: DataFrame) -> DataFrame:
     """
     text = lambda c: F.expr(f"cast(shiftright(shiftleft({c}, 32), 32) AS int)")
     pos = lambda c: F.expr(f"cast(shiftright({c}, 32) AS int)")
-    rows = repeats.select("k_id", text("at").alias("k_text"), F.col("lo.k_id").alias("f_id"), text("lo.at").alias("f_text"), pos("at").alias("p"), pos("lo.at").alias("q"))
-    lists = rows.groupBy("k_id", "k_text").agg(*(F.collect_list(c).alias(c) for c in ("f_id", "f_text", "q", "p")))  # without nulls, so they stay aligned
+    rows = repeats.select("k_id", text("at").alias("k_text"), F.col("lo.k_id").alias("f_id"), text("lo.at").alias("f_text"), pos("at").alias("p"), (pos("at") - pos("lo.at")).alias("d"))
+    lists = rows.groupBy("k_id", "k_text").agg(*(F.collect_list(c).alias(c) for c in ("f_id", "f_text", "d", "p")))  # without nulls, so they stay aligned; d is the same throughout a run, so it packs well
 
     def run(batches):
         for batch in batches:
             lengths = batch.column(2).value_lengths().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), lengths)
-            f_id, f_text, q, p = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in range(2, 6))
-            order = np.lexsort((p, p - q, f_text, f_id, row))
-            row, f_id, f_text, q, p = (x[order] for x in (row, f_id, f_text, q, p))
+            f_id, f_text, d, p = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in range(2, 6))
+            order = np.lexsort((p, d, f_text, f_id, row))
+            row, f_id, f_text, d, p = (x[order] for x in (row, f_id, f_text, d, p))
+            q = p - d
             fresh = np.ones(len(row), bool)
             fresh[1:] = (np.diff(row) != 0) | (np.diff(f_id) != 0) | (np.diff(f_text) != 0) | (np.diff(p) != 1) | (np.diff(q) != 1)
             first = np.flatnonzero(fresh)
