@@ -12,9 +12,9 @@ One plan for all sizes, in which nothing is collected or broadcast. Pages are re
 a slice of them (about SLICE bytes of text) in one compressed row; the slices are shuffled by their number and read
 from that shuffle three times:
 
-1. each slice sends its minimisers, distinct, sorted and cut to 48 bits, to their buckets; a bucket answers with a bit
-   for each, in the order sent: whether it stands at two places of its host (other ones that share the 48 bits do no
-   harm);
+1. each slice sends its minimisers, distinct, sorted and cut to 40 bits, to their buckets; a bucket answers with a bit
+   for each, in the order sent: whether it stands at two places of its host (the other bits choose the bucket, and the
+   buckets grow with the data, so few others share these; those that do are sorted out by the next step);
 2. around the repeated ones, each slice sends its distinct strips of words, with the page that holds each, to the
    buckets, where they are sorted; neighbours that agree on MIN_WORDS words form a class, and a class of two pages is
    boilerplate; a bucket answers with a bit for each window, in the order sent;
@@ -50,7 +50,7 @@ GRAM = 5
 SLICE = 8 << 20
 LEVEL = 6
 BUCKET_BYTES = 64 << 20
-KEY_BITS = np.uint64((1 << 48) - 1)
+KEY_BITS = np.uint64(40)
 #: For the SQL; the operator decodes all that HTML knows.
 ENTITIES = {
     "&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&#60;": "<", "&gt;": ">", "&#62;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'",
@@ -143,9 +143,9 @@ class Slice:
         self.row = np.searchsorted(self.offsets, self.begin, side="right") - 1
         self.host = self.pages.column("host_key").to_numpy().view(np.uint64)[self.row]
         self.h = mix(h[at[first]] ^ self.host) if len(first) else np.zeros(0, np.uint64)
-        self.bucket = (self.h % np.uint64(buckets)).astype(np.int64)
+        self.bucket = ((self.h >> KEY_BITS) % np.uint64(buckets)).astype(np.int64)
         #: the distinct minimisers by bucket, and the number of each strip's
-        (self.key_bucket, self.key), _, self.key_of = distinct(self.bucket, self.h & KEY_BITS)
+        (self.key_bucket, self.key), _, self.key_of = distinct(self.bucket, self.h & np.uint64((1 << int(KEY_BITS)) - 1))
 
     def repeat(self, bits: np.ndarray) -> None:
         """Keeps the strips whose minimiser is repeated, and groups equal ones: what stands in a group, and each strip's group."""
