@@ -39,12 +39,13 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .text import Reader, compressed, distinct, hashes_of, mix, planes, release, rows_of, slices, words_of
+from .text import BASE, Reader, compressed, distinct, mix, planes, release, rows_of, slices, words_of
 
 ORDER = 3
 K = 5
@@ -55,6 +56,7 @@ GROUP = 4
 SLICE = 4 << 20
 HELD = 1_000_000
 NONE = 0
+LONG = 64
 FREQUENT = 65_534
 SPELLED = 65_535
 
@@ -71,12 +73,72 @@ def discounts(of_counts: dict[tuple[int, int], int], order: int) -> dict[tuple[i
     return out
 
 
-def places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of the distinct words, the last being NONE; by place the numbers of the word before, the word and the word behind; its row."""
+def hashed(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: eight bytes after the other are mixed in, for all words at once; words longer than LONG bytes by xxHash."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    words = words.cast(pa.large_binary())
+    starts = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8)
+    size = np.diff(starts)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+    starts = starts[:-1] - starts[0]
+    eight = np.zeros(len(data) // 8 + 2, "<u8")
+    eight.view(np.uint8)[: len(data)] = data
+    out = mix(size.astype(np.uint64) * BASE)
+    which, at = np.flatnonzero(size <= LONG), 0
+    while len(which):
+        begin, shift = np.divmod(starts[which] + at, 8)
+        shift = shift.astype(np.uint64) * np.uint64(8)
+        block = eight[begin] >> shift | eight[begin + 1] << np.uint64(1) << (np.uint64(63) - shift)
+        beyond = (8 - np.minimum(size[which] - at, 8)).astype(np.uint64) * np.uint64(8)
+        out[which] = mix(out[which] ^ (block & (np.uint64(0xFFFFFFFFFFFFFFFF) >> beyond)))
+        at += 8
+        which = which[size[which] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]])
+    return out
+
+
+def ordered(key: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, from 0 to span, in order, and their stable order; sorted as one number with their places where that fits, which is quicker."""
+    bits = len(key).bit_length()
+    if span.bit_length() + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort(key << bits | np.arange(len(key)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def numbered(key: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the number of each key among them, and their counts."""
+    key, order = ordered(key, span)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(np.append(first, len(key)))
+    number = np.empty(len(key), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), count)
+    return key[first], number, count
+
+
+def once(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order, by sorting: np.unique alone goes through a table of hashes, many times slower where most are distinct."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
+
+
+def named(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the distinct words, the last being NONE; by place the number of its word; the offsets of the rows' places."""
     words, offsets = words_of(text)
     coded = words.dictionary_encode()
-    own = np.append(np.maximum(hashes_of(coded.dictionary), np.uint64(1)), np.uint64(NONE)).view(np.int64)
-    m = coded.indices.to_numpy().astype(np.int64)
+    own = np.append(np.maximum(hashed(coded.dictionary), np.uint64(1)), np.uint64(NONE)).view(np.int64)
+    return own, coded.indices.to_numpy().astype(np.int64), offsets
+
+
+def places(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the distinct words, the last being NONE; by place the numbers of the word before, the word and the word behind; its row."""
+    own, m, offsets = named(text)
     x, y = np.roll(m, 1), np.roll(m, -1)
     some = np.diff(offsets) > 0
     x[offsets[:-1][some]] = y[offsets[1:][some] - 1] = len(own) - 1
@@ -97,11 +159,12 @@ def counts(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for batch in slices(batches, limit=SLICE):
-            own, _, m, y, _ = places(_text(batch))
             if only is None:
+                own, m, _ = named(_text(batch))
                 c = np.bincount(m, minlength=len(own))[:-1]
                 held.append((own[:-1], np.zeros_like(own[:-1]), c))
             else:
+                own, _, m, y, _ = places(_text(batch))
                 use = np.isin(own, only)[m] & (y < len(own) - 1)
                 key, c = np.unique(m[use] * len(own) + y[use], return_counts=True)
                 held.append((own[key // len(own)], own[key % len(own)], c))
@@ -168,9 +231,8 @@ def packed(docs: DataFrame, buckets: int, table_of: Broadcast, hot: dict[int, in
             k = np.minimum(np.searchsorted(hot_words, own), len(hot_words) - 1)
             share = np.where(hot_words[k] == own, shares[k], 1)
             to = (to + (mix(spun ^ np.uint64(7)) >> np.uint64(1)).astype(np.int64)[x] % share[m]) % buckets
-        key = to * v + nth[m]
-        order = np.argsort(key, kind="stable")
-        key, x, y = key[order], x[order], y[order]
+        key, order = ordered(to * v + nth[m], buckets * v)
+        x, y = x[order], y[order]
         group = np.flatnonzero(np.diff(key, prepend=-1))  # the places of one word in one bucket
         size = np.diff(np.append(group, len(key)))
         word, to = hashes[key[group] % v], key[group] // v
@@ -226,7 +288,7 @@ class Bucket:
         used[x] = used[y] = True
         used = np.flatnonzero(used[:SPELLED])
         words, spelled_x, spelled_y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (words, spelled_x, spelled_y))
-        self.own = np.unique(np.concatenate([words, table_of[used], spelled_x, spelled_y]))
+        self.own = once(np.concatenate([words, table_of[used], spelled_x, spelled_y]))
         number = np.zeros(SPELLED + 1, np.int32)
         number[used] = np.searchsorted(self.own, table_of[used])
         self.m = np.repeat(np.searchsorted(self.own, words).astype(np.int32), np.concatenate(sizes) if sizes else 0)
@@ -237,7 +299,7 @@ class Bucket:
         self.first, self.two = x == 0, y != 0
         self.three = self.two & ~self.first
         self.grams2, self.c2 = np.unique(self.m[self.two] * np.int64(v) + self.y[self.two], return_counts=True)
-        self.contexts, context = np.unique(self.x[self.three] * np.int64(v) + self.m[self.three], return_inverse=True)
+        self.contexts, context, _ = numbered(self.x[self.three] * np.int64(v) + self.m[self.three], v * v)
         self.key3 = context * np.int64(v) + self.y[self.three]
 
     def hot(self, hot_words: np.ndarray) -> np.ndarray:
@@ -258,7 +320,7 @@ def counted(table: pa.Table, frequent: np.ndarray, hot_words: np.ndarray) -> pa.
     rows = [(1, 0, 0)]
     for b in _buckets(table, frequent):
         hot = b.hot(hot_words)
-        words = np.unique(b.m)
+        words = once(b.m)
         c2 = b.c2[~hot[b.grams2 // b.v]]
         c3 = np.unique(b.key3, return_counts=True)[1]
         rows += [(1, 0, len(b.m)), (1, 1, int((~hot[words]).sum()))]
@@ -291,7 +353,7 @@ def evaluated(b: Bucket, told: pa.Table, hot: dict[int, int], least: int) -> np.
     mass2 = np.bincount(first2, kept(2, c2), v)
     told_m, told_y, told_c = m[n == 0], y[n == 0], c[n == 0]
     if len(told_m):
-        words = np.unique(told_m)
+        words = once(told_m)
         at = np.minimum(np.searchsorted(b.own, words), v - 1)
         here = b.own[at] == words
         of_word = np.searchsorted(words, told_m)
@@ -314,7 +376,7 @@ def evaluated(b: Bucket, told: pa.Table, hot: dict[int, int], least: int) -> np.
     start = b.first & b.two
     lp[start] += np.log(p2[np.searchsorted(b.grams2, b.m[start] * np.int64(v) + b.y[start])])
     if len(b.contexts):
-        key3, at3, c3 = np.unique(b.key3, return_inverse=True, return_counts=True)
+        key3, at3, c3 = numbered(b.key3, len(b.contexts) * v)
         context = key3 // v
         lower = p2[np.searchsorted(b.grams2, (b.contexts % v)[context] * v + key3 % v)]
         use = c3 >= least
