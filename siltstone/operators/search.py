@@ -311,7 +311,8 @@ def gate(hits: DataFrame, threshold: float = 0.65) -> DataFrame:
 
 
 def context_blocks(hits: DataFrame) -> DataFrame:
-    """One row, ``context``: numbered blocks of the hits (rank, filename, record_type, times, content) in order."""
+    """One row, ``context``: numbered blocks of the hits (rank, filename, record_type, times, content) in order. Hits without columns of times have no times."""
+    hits = hits.withColumns({c: F.lit(None).cast("double") for c in ("timestamp_start", "timestamp_end") if c not in hits.columns})
     time = F.when(F.col("timestamp_start").isNotNull(), F.format_string(" [Time: %.1f - %.1f]", "timestamp_start", F.coalesce("timestamp_end", "timestamp_start"))).otherwise(F.lit(""))
     label = F.when(F.col("record_type") == "summary", F.lit("Summary")).otherwise(F.lit("Excerpt"))
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), label, F.lit(" of "), F.col("filename"), time, F.lit("\n"), F.col("content"))
