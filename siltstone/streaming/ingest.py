@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,9 +17,12 @@ from siltstone.sources.files import described, scan_all
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, per_trigger: int = 100) -> DataFrame:
-    """Parquet files of texts as they arrive, at most per_trigger a batch."""
+    """Parquet files of texts as they arrive, at most per_trigger a batch. pattern: those of this name, and those in folders of this name (tables of many files)."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
+    if not pattern:
+        return reader.parquet(path)
+    # in braces a plain name counts as a pattern too: Spark takes the path of one file for a folder else
+    return reader.parquet(f"{path}/{pattern if re.search(r'[][{}*?]', pattern) else f'{{{pattern}}}'}")
 
 
 def directory_stream(spark: SparkSession, directory: str, per_trigger: int = 100) -> DataFrame:
