@@ -6,21 +6,21 @@ smaller id. Query sides (a vector, a few terms) are literals; corpora are never
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.text import TOKEN, in_folder, tokens
+from siltstone.functions import batches
+from siltstone.functions.batches import TERM
+from siltstone.functions.text import exploded, in_folder, tokens
 from siltstone.operators.catalog import written
 from siltstone.schema import Settings
 
-TERM = re.compile(TOKEN)
 
 def filtered(records: DataFrame, folder: str | None = None, file_type: str | None = None, record_types: list[str] | None = None, prefix_compat: bool = False) -> DataFrame:
     """Records within all of the given limits; None: no limit, an empty list: nothing. Pushed down to the scan."""
@@ -82,26 +82,9 @@ def _statistics(counts: DataFrame, n: int) -> DataFrame:
 
 
 def term_counts(terms: list[str], stem: bool = False):
-    """A column function: from a text the number of its terms, and of each of these, as an array (Arrow-batched: one scan of a text for all terms)."""
-    at = {t: i + 1 for i, t in enumerate(terms)}
-
-    @F.pandas_udf("array<int>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            out = []
-            for text in series:
-                found, n = [0] * (len(at) + 1), 0
-                for t in TERM.findall(text or ""):
-                    n += 1
-                    t = t.lower()
-                    k = at.get(stemmed(t) if stem else t)
-                    if k:
-                        found[k] += 1
-                found[0] = n
-                out.append(found)
-            yield pd.Series(out)
-
-    return run
+    """A column function: from a text the number of its terms, and of each of these, as an array (in Arrow batches: one scan of a text for all terms)."""
+    stems = batches.Known(lambda t: stemmed(t.lower())) if stem else None
+    return batches.of_texts("array<int>", lambda texts: batches.counts(texts, terms, stems))
 
 
 def bm25(records: DataFrame, terms: list[str], key: str = "id", text: str = "content", k1: float = 1.2, b: float = 0.75, stem: bool = False) -> DataFrame:
@@ -161,7 +144,7 @@ class Postings:
         found = records.select(key, *limits, term_frequencies(F.coalesce(text, F.lit(""))).alias("_t"))
         n = F.aggregate(F.map_values("_t"), F.lit(0), lambda a, x: a + x)
         found.select(F.col(key).alias("id"), *limits, n.alias("_n")).write.parquet(f"{root}/lengths")
-        terms = found.select(F.col(key).alias("id"), F.explode("_t").alias("term", "tf"))
+        terms = exploded(found.select(F.col(key).alias("id"), "_t"), "_t", "term", "tf")
         terms = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/terms")
         return cls(records.sparkSession, root)
@@ -181,11 +164,8 @@ class Postings:
         return _best(_scored(counts, _statistics(counts, len(words)), [m for _, m in asked], 1.2, 0.75), words, k, "id", conjunctive)
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
-def term_frequencies(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """How often each term of a text occurs in it."""
-    for series in texts:
-        yield series.map(lambda text: dict(Counter(t.lower() for t in TERM.findall(text or ""))))
+#: How often each term of a text occurs in it: a column function.
+term_frequencies = batches.of_texts(T.MapType(T.StringType(), T.IntegerType()), batches.frequencies, batches.SLICE // 4)  # a table of terms a text takes more than the text
 
 
 _ENDINGS = (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
@@ -208,17 +188,16 @@ def cover_density(terms: list[str]):
 
     A stretch that is exactly the terms counts 1; longer ones count less; texts without all terms score 0.
     """
-    asked = sorted({stemmed(t) for t in terms})
+    asked, known = frozenset(stemmed(t) for t in terms), batches.Known(lambda t: stemmed(t.lower()))
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda text: _density([stemmed(t.lower()) for t in TERM.findall(text or "")], asked))
+    def each(texts: list) -> pa.Array:
+        known.bounded()
+        return pa.array([_density([known[t] for t in TERM.findall(text or "")], asked) for text in texts], pa.float64())
 
-    return run
+    return batches.of_texts("double", each)
 
 
-def _density(words: list[str], asked: list[str]) -> float:
+def _density(words: list[str], asked: frozenset[str]) -> float:
     last, total, left = {}, 0.0, -1
     for i, w in enumerate(words):
         if w in asked:
